@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,23 @@ from posttide.functions import text
 MIN_DF, MAX_TERMS = 3, 5000
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once per row.
+
+    A lambda variable is bound to its value, while a column named in a lambda
+    would be worked out again for every element.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def ngram_column(tokens: Column, n: int = 2) -> Column:
     """Runs of `n` neighbouring tokens joined by a blank; none for shorter lists."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return once(tokens, runs)
 
 
 def ngrams(df: DataFrame, n: int = 2, column: str = "text", name: str = "ngrams") -> DataFrame:
@@ -24,8 +38,7 @@ def ngrams(df: DataFrame, n: int = 2, column: str = "text", name: str = "ngrams"
     value = F.col(column)
     if dict(df.dtypes)[column].startswith("array"):
         value = F.array_join(value, " ")
-    tokens = df.withColumn("_words", text.words(value))
-    return tokens.withColumn(name, ngram_column(F.col("_words"), n)).drop("_words")
+    return df.withColumn(name, ngram_column(text.words(value), n))
 
 
 def ngram_counts(df: DataFrame, n: int = 2, column: str = "text") -> DataFrame:
@@ -57,7 +70,7 @@ def term_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
         return F.transform(c, lambda t: F.struct(
             t.alias("term"), F.lit(tf).alias("tf"), F.lit(df_).alias("df")))
 
-    both = F.concat(marked(F.col(tokens), 1, 0), marked(F.array_distinct(tokens), 0, 1))
+    both = once(F.col(tokens), lambda t: F.concat(marked(t, 1, 0), marked(F.array_distinct(t), 0, 1)))
     return (df.select(F.explode(both).alias("e"))
             .groupBy("e.term").agg(F.sum("e.tf").alias("term_freq"), F.sum("e.df").alias("doc_freq")))
 

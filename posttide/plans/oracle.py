@@ -349,8 +349,8 @@ def build() -> dict[str, str]:
             SELECT year_month, id, country, lat, lon, date FROM numbered""",
         "read_one_month": f"""{labelled} SELECT id, country, sentiment, sentiment_score FROM labelled
             WHERE year_month = '1996_03'""",
-        "write_by_country": f"""{labelled} SELECT country, year_month, count(*) AS n,
-            CAST(sum(id) AS BIGINT) AS id_sum FROM labelled GROUP BY ALL""",
+        "write_by_country": f"""{labelled} SELECT country, left(year_month, 5) || '01' AS year_month,
+            count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM labelled GROUP BY ALL""",
         "sentiment_counts": f"""{_ctes(labelled=LABELLED, monthly=_monthly(f'{NEG} AS Negative, {POS} AS Positive'),
               totals='SELECT country, sum(Negative + Positive) AS n_posts FROM monthly GROUP BY country')}
             SELECT * FROM monthly WHERE Negative + Positive > 0

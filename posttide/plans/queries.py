@@ -262,9 +262,8 @@ def csv_by_header(spark, sf):
     """Two exports with different column orders, stacked by name."""
     path = scratch_path(spark, "csv")
     raw = raw_posts(spark, sf).select("row_key", *schemas.RAW_POST_COLUMNS)
-    options = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""'}
-    raw.where("row_key % 2 = 0").write.options(**options).csv(f"{path}/a")
-    raw.where("row_key % 2 = 1").select(*reversed(raw.columns)).write.options(**options).csv(f"{path}/b")
+    raw.where("row_key % 2 = 0").write.options(**writers.CSV_OPTIONS).csv(f"{path}/a")
+    raw.where("row_key % 2 = 1").select(*reversed(raw.columns)).write.options(**writers.CSV_OPTIONS).csv(f"{path}/b")
     back = readers.read_csv_by_header(spark, path, ["row_key", *schemas.RAW_POST_COLUMNS], recursive=True)
     return back.select(F.col("row_key").cast("bigint").alias("row_key"), "location", "language",
                        F.md5(F.col("text").cast("binary")).alias("text_md5"), "followers")
@@ -309,7 +308,8 @@ def read_one_month(spark, sf):
 @query
 def write_by_country(spark, sf):
     path = scratch_path(spark, "by-country")
-    writers.write_by_country(labelled_posts(spark, sf), path)
+    by_year = F.concat(F.left("year_month", F.lit(5)), F.lit("01"))
+    writers.write_by_country(labelled_posts(spark, sf).withColumn("year_month", by_year), path)
     return readers.read_labelled(spark, path).groupBy("country", "year_month").agg(
         F.count("*").alias("n"), F.sum("id").alias("id_sum"))
 

@@ -15,6 +15,10 @@ from posttide.operators.ranking import assign_ids
 
 ROWS_PER_FILE = 5_000_000
 
+# CSV as Python's csv module writes it, blanks kept.
+CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def last_ids(df: DataFrame, path: str, by: str = "year_month") -> DataFrame | None:
     """Highest id per month already stored under `path`; None when nothing is there."""
@@ -40,7 +44,7 @@ def _append(df: DataFrame, path: str, parts: Sequence[str], fmt: str) -> None:
     writer = (out.write.mode("append").partitionBy(*parts)
               .option("maxRecordsPerFile", ROWS_PER_FILE))
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(fmt).save(path)
 
 
@@ -67,19 +71,17 @@ def write_labelled(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     _append(df, path, ["year_month"], fmt)
 
 
-def write_by_country(df: DataFrame, path: str, key: str = "id", salts: int = 16,
-                     fmt: str = "parquet") -> None:
+def write_by_country(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append posts, one folder per country and month.
 
-    Rows of one folder gather in up to `salts` tasks: enough for a country that
-    holds a third of all posts, few enough not to leave a file per task.
+    Rows of a folder are brought together so that few files arise. Rebalancing
+    by the folder keys lets adaptive execution split a country that holds a
+    third of all posts over many tasks, and merge small folders into one.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(salts))
-    spread = df.where(F.col("country").isNotNull()).repartition("country", "year_month", salt)
-    _append(spread, path, ["country", "year_month"], fmt)
+    parts = ["country", "year_month"]
+    _append(df.where(F.col("country").isNotNull()).hint("rebalance", *parts), path, parts, fmt)
 
 
 def write_gazetteer(df: DataFrame, path: str) -> None:
     """The gazetteer columns as CSV with header."""
-    df.select(*schemas.GAZETTEER_COLUMNS).write.mode("overwrite").option("header", True).option(
-        "escape", '"').csv(path)
+    df.select(*schemas.GAZETTEER_COLUMNS).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
