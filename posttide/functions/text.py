@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a link, mention, hashtag, emoji, smiley or number.
-# No look-around, so that they mean the same in Java regex and in RE2.
+# These forms use no look-around and mean the same in Java regex and in RE2.
 URL = r"(?i)(https?://|www\.)[^\s]+"
 MENTION = r"@[\p{L}\p{N}_]+"
 HASHTAG = r"#[\p{L}\p{N}_]+"
@@ -16,6 +16,19 @@ EMOJI = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200
 SMILEY = r"(?i)(^|\s)([:;=]-?[)(]+|[:;=]-?[dpo]+\b|xd+\b)"
 NUMBER = r"(^|\s)-?\d+([.,]\d+)*\b"
 
+# The same sets for Java's matcher, which tries a pattern at every character:
+# each starts with one cheap character test and looks back only after it.
+FAST_URL = r"(?:[hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)\S+"
+FAST_EMOJI = rf"[\x{{200D}}-\x{{1FAFF}}&&{EMOJI}]"
+FAST_SMILEY = r"[:;=xX](?<!\S.)(?:(?<=[xX])[dD]+\b|(?<![xX])-?(?:[)(]+|[dpoDPO]+\b))"
+FAST_NUMBER = r"[-0-9](?<!\S.)(?:(?<=-)[0-9]+|(?<!-)[0-9]*)(?:[.,][0-9]+)*\b"
+
+# Two removals in one pass, where neither can make or break a match of the other:
+# a link runs to the next blank and an emoji is one character; a mention and a
+# hashtag each end before a character that no tag goes on with.
+LINK_OR_EMOJI = rf"{FAST_URL}|{FAST_EMOJI}"
+MENTION_OR_HASHTAG = r"[@#][\p{L}\p{N}_]+"
+
 # The 32 ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -26,10 +39,12 @@ TOPIC_WORD = r"[a-zA-Z0-9]{3,}"
 # Joined words a word tokenizer takes apart, and quotes it sets free.
 JOINED_PAIRS = ("cannot", "gimme", "gonna", "gotta", "lemme", "wanna")
 LOOSE_QUOTES = r"([«»“”‘’„])"
+SET_FREE = (r"(?i)(\b(?:" + "|".join(rf"{w[:3]}(?={w[3:]}\b)" for w in JOINED_PAIRS)
+            + ")|" + LOOSE_QUOTES[1:-1] + ")")
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL, "")
+    return F.regexp_replace(c, FAST_URL, "")
 
 
 def strip_mentions(c: Column) -> Column:
@@ -41,15 +56,15 @@ def strip_hashtags(c: Column) -> Column:
 
 
 def strip_emoji(c: Column) -> Column:
-    return F.regexp_replace(c, EMOJI, "")
+    return F.regexp_replace(c, FAST_EMOJI, "")
 
 
 def strip_smileys(c: Column) -> Column:
-    return F.regexp_replace(c, SMILEY, "$1")
+    return F.regexp_replace(c, FAST_SMILEY, "")
 
 
 def strip_numbers(c: Column) -> Column:
-    return F.regexp_replace(c, NUMBER, "$1")
+    return F.regexp_replace(c, FAST_NUMBER, "")
 
 
 def collapse_blanks(c: Column) -> Column:
@@ -65,31 +80,42 @@ def strip_leftovers(c: Column, drop_hash: bool = False) -> Column:
 
 
 def strip_punctuation(c: Column) -> Column:
-    return F.translate(c, PUNCTUATION, "")
+    return F.regexp_replace(c, r"[!-/:-@\[-`{-~]+", "")
 
 
 def clean_light(c: Column) -> Column:
     """Links, emoji and smileys out; case and words kept. NULL becomes the empty text."""
-    c = strip_smileys(strip_emoji(strip_urls(F.coalesce(c, F.lit("")))))
+    c = strip_smileys(F.regexp_replace(F.coalesce(c, F.lit("")), LINK_OR_EMOJI, ""))
     return strip_leftovers(collapse_blanks(c), drop_hash=True)
 
 
+def _without_markup(c: Column) -> Column:
+    c = strip_urls(F.lower(F.coalesce(c, F.lit(""))))
+    return strip_numbers(strip_smileys(strip_emoji(F.regexp_replace(c, MENTION_OR_HASHTAG, ""))))
+
+
 def clean_heavy_text(c: Column) -> Column:
     """Lower-cased text without links, mentions, hashtags, emoji, smileys, numbers, punctuation."""
-    c = F.lower(F.coalesce(c, F.lit("")))
-    c = strip_hashtags(strip_mentions(strip_urls(c)))
-    c = strip_numbers(strip_smileys(strip_emoji(c)))
-    return strip_punctuation(strip_leftovers(collapse_blanks(c)))
+    return strip_punctuation(strip_leftovers(collapse_blanks(_without_markup(c))))
+
+
+def heavy_words(c: Column, stopwords: Sequence[str] = ()) -> Column:
+    """Tokens of `clean_heavy_text` without stop words.
+
+    Blanks are not collapsed first: the split takes care of any run of them.
+    """
+    c = F.replace(_without_markup(c), F.lit("&amp"), F.lit(""))
+    return tokenize(strip_punctuation(c), stopwords)
+
 
+def tokenize(c: Column, stopwords: Sequence[str] = (), split_joined: bool = True) -> Column:
+    """Words between blanks, less stop words; order and repeats kept.
 
-def tokenize(c: Column, split_joined: bool = True) -> Column:
-    """Words between blanks; `cannot` and its like fall apart, typographic quotes stand alone."""
+    `cannot` and its like fall apart, typographic quotes stand alone.
+    """
     if split_joined:
-        c = F.regexp_replace(c, LOOSE_QUOTES, " $1 ")
-        for joined in JOINED_PAIRS:
-            head, tail = joined[:3], joined[3:]
-            c = F.regexp_replace(c, rf"(?i)\b({head})({tail})\b", "$1 $2")
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+        c = F.regexp_replace(c, SET_FREE, " $1 ")
+    return drop_stopwords(F.split(c, r"\s+"), ["", *stopwords])
 
 
 def drop_stopwords(tokens: Column, words: Sequence[str]) -> Column:
