@@ -58,19 +58,19 @@ def lemmatize(df: DataFrame, lexicon: DataFrame | None, tokens: str = "tokens",
               key: str = "row_key") -> DataFrame:
     """Replace known tokens by their lemmas; order, repeats and unknown tokens stay.
 
-    `key` identifies a row. Only key and tokens travel through the lookup; a
-    group is the token list of one row, and the rows join back on the same key.
+    `key` identifies a row. Only the distinct tokens of a row that do change
+    travel: they come back as a small map per row, applied to its token list.
     """
     if lexicon is None:
         return df
     forms = materialize(lemma_forms(lexicon).where("token <> lemma"), "lemma-forms")
-    exploded = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
-    found = lookup_join(exploded, forms, ["token"])
-    placed = F.struct("_pos", F.coalesce("lemma", "token").alias("word"))
-    again = (found.groupBy(key).agg(F.array_sort(F.collect_list(placed)).alias("_placed"))
-             .select(key, F.col("_placed.word").alias("_lemmas")))
-    joined = df.join(again, key, "left")
-    return joined.withColumn(tokens, F.coalesce("_lemmas", tokens)).drop("_lemmas")
+    distinct = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+    changes = (lookup_join(distinct, forms, ["token"], "inner").groupBy(key)
+               .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas")))
+    joined = df.join(changes, key, "left")
+    replaced = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
+    return joined.withColumn(
+        tokens, F.when(F.col("_lemmas").isNull(), F.col(tokens)).otherwise(replaced)).drop("_lemmas")
 
 
 def heavy_tokens(c: Column, stopwords: Sequence[str] | None = None) -> Column:

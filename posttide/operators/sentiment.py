@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from posttide import schemas
 from posttide.functions import dates, scores
 from posttide.operators import posts
+from posttide.session import materialize
 
 # How many countries a report holds.
 TOP_COUNTRIES = 20
@@ -59,6 +60,8 @@ def sentiment_means(df: DataFrame, start: date = posts.PERIOD_START, end: date =
     """(country, month, Negative, Positive) mean scores, for the `k` countries with most posts.
 
     Posts without label count for the ranking; a label without scores in a month gives 0.
+    The monthly table is written once: ranking and report need different columns of
+    it, and would otherwise read the posts twice.
     """
     def mean(label: str) -> Column:
         return F.coalesce(F.avg(F.when(_labelled(label), F.col("sentiment_score"))), F.lit(0.0))
@@ -69,6 +72,8 @@ def sentiment_means(df: DataFrame, start: date = posts.PERIOD_START, end: date =
         "Negative": mean(schemas.NEGATIVE),
         "Positive": mean(schemas.POSITIVE),
     })
+    if k is not None:
+        monthly = materialize(monthly, "monthly-means")
     shown = monthly.where("n_labelled > 0")
     if k is not None:
         shown = shown.join(F.broadcast(_top(monthly, "n", k)), "country", "left_semi")  # k rows

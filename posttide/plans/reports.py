@@ -34,7 +34,7 @@ def run_labelling(spark: SparkSession, located: str, out: str, model: Model | Ca
 
 def sentiment_reports(labelled: DataFrame, **period) -> dict[str, DataFrame]:
     """The tables of the sentiment charts and the bias test."""
-    tested = hypothesis.sentiment_bias_test(labelled)
+    tested = materialize(hypothesis.sentiment_bias_test(labelled), "bias-test")
     return {
         "sentiment_counts": sentiment.sentiment_counts(labelled, **period),
         "sentiment_means": sentiment.sentiment_means(labelled, **period),

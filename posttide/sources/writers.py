@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from posttide import schemas
 from posttide.operators.posts import filter_located
 from posttide.operators.ranking import assign_ids
+from posttide.session import materialize
 
 ROWS_PER_FILE = 5_000_000
 
@@ -20,17 +21,19 @@ CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def last_ids(df: DataFrame, path: str, by: str = "year_month") -> DataFrame | None:
+def last_ids(df: DataFrame, path: str, fmt: str = "parquet", by: str = "year_month") -> DataFrame | None:
     """Highest id per month already stored under `path`; None when nothing is there."""
-    spark = df.sparkSession
+    reader = df.sparkSession.read
+    if fmt == "csv":
+        reader = reader.options(header=True, multiLine=True, escape='"')
     try:
-        stored = spark.read.parquet(path)
+        stored = reader.format(fmt).load(path)
     except AnalysisException:
         return None
     if "id" not in stored.columns:
         return None
-    # A month folder read as a number would not match its text label again.
-    return stored.groupBy(F.col(by).cast("string").alias(by)).agg(F.max("id").alias("last_id"))
+    last = F.max(F.col("id").cast("bigint")).alias("last_id")
+    return materialize(stored.groupBy(F.col(by).cast("string").alias(by)).agg(last), "last-ids")
 
 
 def serialise_lists(df: DataFrame) -> DataFrame:
@@ -54,8 +57,7 @@ def write_posts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     Numbering leaves the rows spread by month, file and block of rows, so a
     month of any size is written by many tasks and a task meets few months.
     """
-    start = last_ids(df, path) if fmt == "parquet" else None
-    numbered = assign_ids(df, start=start)
+    numbered = assign_ids(df, start=last_ids(df, path, fmt))
     carried = [c for c in numbered.columns if c in schemas.LABELLED_TYPES]
     ordered = [c for c in schemas.PREPROCESSED_COLUMNS if c in carried]
     _append(numbered.select(*ordered, "year_month"), path, ["year_month"], fmt)
