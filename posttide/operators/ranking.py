@@ -40,13 +40,14 @@ def bucketed_row_number(df: DataFrame, by: Sequence[str], buckets: Sequence[str]
     """`row_number` over `by` ordered by (`buckets`, `order`) as column `name`.
 
     `buckets` must not be NULL. `total` names a column for the size of the group.
-    The window and the join share one partitioning, so rows are shuffled once.
+    The offsets, one row per bucket, are written and measured; they are normally
+    broadcast, so rows are shuffled once, for the window.
     """
     grouped, group = _grouped(df, by)
-    keys = [*group, *buckets]
+    offsets = materialize(_offsets(grouped, group, buckets), "offsets")
     placed = grouped.withColumn(
-        "_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    joined = placed.join(_offsets(grouped, group, buckets), keys, "left")
+        "_place", F.row_number().over(Window.partitionBy(*by, *buckets).orderBy(*order)))
+    joined = lookup_join(placed, offsets, [*group, *buckets])
     extra = [F.col("_total").alias(total)] if total else []
     return joined.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name), *extra)
 
@@ -109,7 +110,7 @@ def sample_exact(df: DataFrame, n: int = 500_000, by: Sequence[str] = ("year_mon
         .agg(F.max("_bucket").alias("_cut"), F.max("_before").alias("_whole")),
         "sample-cuts")
     kept = lookup_join(keyed, cuts, group, "inner").where(F.col("_bucket") <= F.col("_cut"))
-    in_bucket = Window.partitionBy(*group, "_bucket").orderBy("_key", *ids)
+    in_bucket = Window.partitionBy(*by, "_bucket").orderBy("_key", *ids)
     kept = kept.withColumn("_place", F.row_number().over(in_bucket)).where(
         (F.col("_bucket") < F.col("_cut")) | (F.col("_place") <= F.lit(n) - F.col("_whole")))
     return kept.select(*df.columns)

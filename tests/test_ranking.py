@@ -55,13 +55,19 @@ def test_sample_equals_one_window(spark):
 
 
 def test_rows_are_shuffled_once(spark):
-    """The join of rows and offsets reuses the window's partitioning: no exchange between the two."""
     df = spark.range(100).select(F.concat(F.lit("f"), F.col("id")).alias("file"), F.col("id").alias("pos"),
                                  (F.col("id") % 2).cast("string").alias("year_month"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(ranking.assign_ids(df))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    below_join = plan[plan.index("SortMergeJoin"):]
-    assert below_join.index("Window") < below_join.index("Exchange")
+    plan = plan_of(ranking.assign_ids(df))
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_large_offsets_are_shuffled_with_salt(spark, monkeypatch):
+    from posttide.operators import joins
+
+    plain = joins.lookup_join
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, "m").alias("year_month"), F.lit("f").alias("file"),
+                                 F.col("id").alias("pos"))
+    small = ranking.assign_ids(df.drop("id"), block_rows=16)
+    monkeypatch.setattr(ranking, "lookup_join", lambda *a, **k: plain(*a, **{**k, "max_bytes": -1, "salts": 4}))
+    large = ranking.assign_ids(df.drop("id"), block_rows=16)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
