@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from posttide import schemas
 from posttide.functions import dates, hashtags, scores, text
 from posttide.operators.joins import lookup_join
+from posttide.session import materialize
 
 # The period the aggregates cover.
 PERIOD_START, PERIOD_END = date(2022, 3, 1), date(2023, 4, 30)
@@ -57,7 +58,7 @@ def training_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def restrict_to(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("country",)) -> DataFrame:
     """Rows whose key is in `keys`; `keys` is measured before it is broadcast."""
-    return lookup_join(df, keys.select(*on).distinct(), on, "left_semi")
+    return lookup_join(df, materialize(keys.select(*on).distinct(), "keys"), on, "left_semi")
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:

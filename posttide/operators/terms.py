@@ -26,9 +26,9 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def ngram_column(tokens: Column, n: int = 2) -> Column:
     """Runs of `n` neighbouring tokens joined by a blank; none for shorter lists."""
     def runs(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+        starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda first, i: F.concat_ws(
+            " ", first, *[F.get(words, i + k) for k in range(1, n)]))
 
     return once(tokens, runs)
 

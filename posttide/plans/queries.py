@@ -347,7 +347,7 @@ def top_countries_labelled(spark, sf):
 @query
 def top_country_posts(spark, sf):
     df = labelled_posts(spark, sf)
-    return posts.restrict_to(df, materialize(sentiment.top_countries(df, 5), "top")).select("id", "country")
+    return posts.restrict_to(df, sentiment.top_countries(df, 5)).select("id", "country")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ def _first_record(path: str) -> list[str]:
     """Header fields of one file; only its first lines are read."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
     head = b""
     with system.open_input_stream(inner) as stream:
         while chunk := stream.read(1 << 16):
@@ -59,7 +60,8 @@ def read_csv_by_header(spark: SparkSession, path: str | Sequence[str],
     then scanned once per distinct header and stacked by name. A column a file
     lacks is NULL. Values are text, or cast with `try_cast` to the given types.
 
-    Adds `file`, `pos` (place in scan order, growing within a file) and keeps
+    Adds `file` (its path) and `pos` (place in scan order, growing within a file;
+    splits of one file are of equal size but the last, and keep their order), and keeps
     line breaks inside quotes when `multiline` is set; such files do not split,
     so large ones should be landed as Parquet (`land_posts`).
     """
@@ -87,7 +89,7 @@ def read_csv_by_header(spark: SparkSession, path: str | Sequence[str],
         first = {name: i for i, name in reversed(list(enumerate(header)))}
         picked = [(F.col(f"`{_safe(first[c], c)}`").try_cast(t) if c in first
                    else F.lit(None).cast(t)).alias(c) for c, t in types.items()]
-        scans.append(scan.select(*picked, F.col("_metadata.file_name").alias("file"),
+        scans.append(scan.select(*picked, F.col("_metadata.file_path").alias("file"),
                                  F.monotonically_increasing_id().alias("pos")))
     return union_all(scans)
 
@@ -130,13 +132,9 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return gaz.select(*schemas.GAZETTEER_COLUMNS, F.col("pos").alias("row_id"))
 
 
-def read_parts(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
-    return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
-
-
 def read_preprocessed(spark: SparkSession, path: str) -> DataFrame:
     """Preprocessed posts written by `write_posts`; filters on `year_month` prune folders."""
-    return read_parts(spark, path)
+    return spark.read.parquet(path)
 
 
 def read_month(spark: SparkSession, path: str, month: str) -> DataFrame:
@@ -145,12 +143,16 @@ def read_month(spark: SparkSession, path: str, month: str) -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """All labelled posts of a folder, stacked by column name."""
+    """All labelled posts of a folder, stacked by column name; missing columns are NULL.
+
+    The types are given, so no file has to be opened to find them.
+    """
     if fmt == "csv":
         types = {c: t for c, t in schemas.LABELLED_TYPES.items() if c != "hashtags"}
         labelled = read_csv_by_header(spark, path, {**types, "hashtags": "string"})
         return labelled.withColumn("hashtags", F.from_json("hashtags", "array<string>"))
-    return read_parts(spark, path, merge_schema=True)
+    columns = ", ".join(f"{c} {t}" for c, t in {**schemas.LABELLED_TYPES, "year_month": "string"}.items())
+    return spark.read.schema(columns).parquet(path)
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
