@@ -75,7 +75,7 @@ def lemmatize(df: DataFrame, lexicon: DataFrame | None, tokens: str = "tokens",
 
 def heavy_tokens(c: Column, stopwords: Sequence[str] | None = None) -> Column:
     """Heavily cleaned text as tokens without stop words, before lemmas."""
-    words = text.default_stopwords() if stopwords is None else stopwords
+    words = text.STOPWORDS if stopwords is None else stopwords
     return text.heavy_words(c, words)
 
 

@@ -64,7 +64,7 @@ def _tokens(c: str) -> str:
     c = _drop(c, text.LOOSE_QUOTES, r" \1 ")
     for joined in text.JOINED_PAIRS:
         c = _drop(c, rf"(?i)\b({joined[:3]})({joined[3:]})\b", r"\1 \2")
-    words = ", ".join(_quote(w) for w in text.default_stopwords())
+    words = ", ".join(_quote(w) for w in text.STOPWORDS)
     return (f"list_filter(string_split_regex({c}, '\\s+'), "
             f"lambda t: t <> '' AND NOT list_contains([{words}], t))")
 

@@ -95,7 +95,7 @@ def test_joint_passes_equal_single_ones(spark):
 
 
 def test_heavy_words_are_words_of_the_heavy_text(spark):
-    words = text.default_stopwords()
+    words = text.STOPWORDS
     assert (one(spark, lambda c: text.heavy_words(c, words), HARD_TEXTS)
             == one(spark, lambda c: text.tokenize(text.clean_heavy_text(c), words), HARD_TEXTS))
 
@@ -118,3 +118,9 @@ def test_tokens_keep_order_and_repeats(spark):
 def test_patterns_have_no_doubtful_escapes():
     for pattern in (text.URL, text.MENTION, text.HASHTAG, text.SMILEY, text.NUMBER):
         assert not re.search(r"\(\?[=!<]", pattern)
+
+
+def test_stop_words_are_those_of_spark(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert text.STOPWORDS == StopWordsRemover.loadDefaultStopWords("english")
