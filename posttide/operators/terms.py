@@ -33,18 +33,25 @@ def ngram_column(tokens: Column, n: int = 2) -> Column:
     return once(tokens, runs)
 
 
+def _joined(df: DataFrame, column: str) -> Column:
+    """A text column, or a token list joined by blanks."""
+    is_list = dict(df.dtypes)[column].startswith("array")
+    return F.array_join(column, " ") if is_list else F.col(column)
+
+
 def ngrams(df: DataFrame, n: int = 2, column: str = "text", name: str = "ngrams") -> DataFrame:
     """Add the n-grams of a text, or of a token list joined by blanks."""
-    value = F.col(column)
-    if dict(df.dtypes)[column].startswith("array"):
-        value = F.array_join(value, " ")
-    return df.withColumn(name, ngram_column(text.words(value), n))
+    return df.withColumn(name, ngram_column(text.words(_joined(df, column)), n))
 
 
 def ngram_counts(df: DataFrame, n: int = 2, column: str = "text") -> DataFrame:
-    """(ngram, n) over all texts; counts are combined before the shuffle."""
-    exploded = ngrams(df.select(column), n, column).select(F.explode("ngrams").alias("ngram"))
-    return exploded.groupBy("ngram").agg(F.count("*").alias("n"))
+    """(ngram, n) over all texts; counts are combined before the shuffle.
+
+    The n-grams are exploded as an expression: for a named list column Spark
+    would add a filter on its size, and build the list a second time for it.
+    """
+    runs = ngram_column(text.words(_joined(df, column)), n)
+    return df.select(F.explode(runs).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def top_ngrams(df: DataFrame, n: int = 2, k: int = 10, column: str = "text") -> DataFrame:
@@ -53,10 +60,7 @@ def top_ngrams(df: DataFrame, n: int = 2, k: int = 10, column: str = "text") ->
 
 def topic_words(df: DataFrame, column: str = "text", name: str = "tokens") -> DataFrame:
     """Add the topic model's tokens of a text or token list."""
-    value = F.col(column)
-    if dict(df.dtypes)[column].startswith("array"):
-        value = F.array_join(value, " ")
-    return df.withColumn(name, text.words(value, text.TOPIC_WORD))
+    return df.withColumn(name, text.words(_joined(df, column), text.TOPIC_WORD))
 
 
 def term_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
