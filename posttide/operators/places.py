@@ -116,9 +116,10 @@ def resolve_distinct(locations: DataFrame, index: DataFrame,
         tokens = F.transform(tokens, lambda t: F.lower(t))
     distinct = locations.select("location").where(F.col("location").isNotNull()).distinct()
     # Exploded as an expression: a filter on the size of a named list would move
-    # below the distinct and split the location of every post.
-    parts = distinct.select("location", tokens.alias("tokens"), F.posexplode(tokens).alias("i", "key"))
-    later = F.slice(F.col("tokens"), F.col("i") + 2, F.greatest(F.size("tokens"), F.lit(1)))
+    # below the distinct and split the location of every post. The later parts are
+    # read off the location again, only where a key was found.
+    parts = distinct.select("location", F.posexplode(tokens).alias("i", "key"))
+    later = F.slice(tokens, F.col("i") + 2, F.greatest(F.size(tokens), F.lit(1)))
     found = lookup_join(parts, index, ["key"], "inner").withColumn(
         "j", F.when(F.col("element").isNull(), F.lit(-1)).otherwise(
             F.col("i") + F.array_position(later, F.col("element"))))
