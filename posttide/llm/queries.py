@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttide.llm import substring
+from posttide.llm import bpe, simhash, substring
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +43,22 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
        sha256(coalesce(txt, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r) LEFT JOIN cut USING (r)
 """
+
+
+@query
+def op2_simhash_near_dedup(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Token ids and, from them again, the bytes of every text."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=keep), ranks)
+
+
+@query
+def op4_byte_bpe(spark, sf):
+    found = byte_bpe(spark, table(spark, sf, "documents"), ["doc_id"])
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
