@@ -77,8 +77,8 @@ def split_rows(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.Rec
 
 
 def make_blocks(df: DataFrame, column: str, size: int = BLOCK_BYTES,
-                prepare: Callable[[pa.Table], bytes] = pack) -> DataFrame:
-    """Rows of `df` packed into blocks and shuffled by block."""
+                prepare: Callable[[pa.Table], bytes] = pack, deal: bool = True) -> DataFrame:
+    """Rows of `df` packed into blocks and, with `deal`, shuffled by block."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, count = TaskContext.get().partitionId(), 0
@@ -99,7 +99,8 @@ def make_blocks(df: DataFrame, column: str, size: int = BLOCK_BYTES,
         if held:
             yield flush()
 
-    return df.mapInArrow(packed, BLOCK_SCHEMA).repartition("block")
+    rows = df.mapInArrow(packed, BLOCK_SCHEMA)
+    return rows.repartition("block") if deal else rows
 
 
 def _text_size(batch: pa.RecordBatch, column: str) -> int:
@@ -121,13 +122,14 @@ def ask(blocks: DataFrame, fn: Callable[[bytes], Iterator[tuple[int, bytes]]]) -
     return blocks.mapInArrow(asked, ASK_SCHEMA)
 
 
-def answer(asks: DataFrame, fn: Callable[[int, list[bytes]], list[bytes | None]]) -> DataFrame:
-    """`fn` gets a part's number and all its asks, and gives one answer for each; None sends nothing."""
+def answer(asks: DataFrame, fn: Callable[[int, list[bytes]], list[bytes | None]], extra: str = "") -> DataFrame:
+    """`fn` gets a part's number and all its asks, and gives one answer for each; None sends nothing. One answer
+    more, if there is one, is addressed to `extra`."""
 
     def answered(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         replies = fn(part, table.column("ask").to_pylist())
-        kept = [(b, r) for b, r in zip(table.column("block").to_pylist(), replies) if r is not None]
+        kept = [(b, r) for b, r in zip([*table.column("block").to_pylist(), extra], replies) if r is not None]
         return pa.table({"block": pa.array([k[0] for k in kept], pa.string()),
                          "part": pa.array([part] * len(kept), pa.int32()),
                          "answer": pa.array([k[1] for k in kept], pa.binary())})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttide.llm import bpe, simhash, substring
+from posttide.llm import bpe, langmodel, language, quality, simhash, substring, tokencount
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def remainder(modulus: int):
+    """The share of a document: CRC-32 of its id as text, modulo `modulus`; a null id has remainder 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0))
+
+
 @query
 def op1_substring_dedup(spark, sf):
     found = substring.remove_repeats(table(spark, sf, "documents"), keep=["doc_id"])
@@ -62,3 +67,35 @@ def op4_byte_bpe(spark, sf):
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_ppm_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = langmodel.score(docs, remainder(7) != 2, keep=["doc_id"])
+    return found.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                        "base_score", "score")
+
+
+@query
+def op8_token_counts(spark, sf):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = file.read()
+    return tokencount.count_tokens(table(spark, sf, "documents"), model, keep=["doc_id"])
+
+
+@query
+def op3_quality_by_compression(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"), remainder(5) != 0)
+    found = quality.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs, remainder(3) != 1)
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
