@@ -23,21 +23,51 @@ EIGHT = np.uint64(8)
 SLICE = 1 << 20
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every text and its end, the ORDER bytes before and the byte as one number; bounds by text."""
-    data = np.frombuffer(b"".join(EDGE * ORDER + t + EDGE for t in texts), np.uint8).astype(np.uint64)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    found = np.zeros(len(data) - ORDER, np.uint64)
+def windows(padded: bytes) -> np.ndarray:
+    """For every byte after the first ORDER ones, the ORDER bytes before and the byte as one number."""
+    data = np.frombuffer(padded, np.uint8)
+    found = np.zeros(max(len(data) - ORDER, 0), np.uint64)
     for k in range(ORDER + 1):
-        found |= data[ORDER - k:len(data) - k] << np.uint64(8 * k)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    inside = np.ones(len(found), bool)
-    edges = bounds[1:-1] + ORDER * np.arange(len(texts) - 1)
-    for k in range(ORDER):
-        inside[edges + k] = False
-    return found[inside], bounds
+        found |= data[ORDER - k:len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    return found
+
+
+def grams(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """The numbers of all bytes of the texts and of their ends, about `size` at a time: places of the texts, the
+    numbers, and where those of each text begin. Long texts come in several slices."""
+    held, n = [], 0
+
+    def flush() -> tuple[list[int], np.ndarray, np.ndarray]:
+        numbers = windows(b"".join(EDGE * ORDER + texts[i] + EDGE for i in held))
+        sizes = np.array([len(texts[i]) + 1 for i in held], np.int64)
+        ends = np.cumsum(sizes)
+        inside = np.ones(len(numbers), bool)
+        edges = ends[:-1] + ORDER * np.arange(len(held) - 1)
+        for k in range(ORDER):
+            inside[edges + k] = False
+        return held, numbers[inside], ends - sizes
+
+    for i, text in enumerate(texts):
+        if len(text) > size:
+            padded = EDGE * ORDER + text + EDGE
+            for a in range(0, len(text) + 1, size):
+                yield [i], windows(padded[a:a + size + ORDER]), np.zeros(1, np.int64)
+            continue
+        held.append(i)
+        n += len(text) + 1
+        if n > size:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def all_distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of the texts in order, and their counts."""
+    found = [distinct_counts(numbers) for _, numbers, _ in grams(texts)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return summed(*(np.concatenate(x) for x in zip(*found)))[:2]
 
 
 def distinct_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +197,10 @@ def pair_table(blocks_of_docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for payload in batch.column("payload"):
                 table = blocks.unpack(payload.as_py())
-                found, _ = grams([t for t, use in zip(blocks.text_bytes(table.column("text")),
-                                                      table.column("train").to_pylist()) if use])
-                total += np.bincount((found & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+                texts = [t for t, use in zip(blocks.text_bytes(table.column("text")),
+                                             table.column("train").to_pylist()) if use]
+                for _, found, _ in grams(texts):
+                    total += np.bincount((found & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
 
@@ -225,10 +256,9 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
             own = by_part[zlib.crc32(word) % parts]
             own[0].append(word)
             own[1].append(n)
-        everything, bounds = grams(texts)
-        distinct, _ = distinct_counts(everything)
-        trained = np.repeat(np.array(use, bool), np.diff(bounds))
-        some, n = distinct_counts(everything[trained])
+        some, n = all_distinct([t for t, trained in zip(texts, use) if trained])
+        other, _ = all_distinct([t for t, trained in zip(texts, use) if not trained])
+        distinct = np.union1d(some, other)
         counts = np.zeros(len(distinct), np.int64)
         counts[np.searchsorted(distinct, some)] = n
         part = gram_part(distinct, parts)
@@ -276,19 +306,18 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
             counts.update(zip(reply.column("word")[0].as_py(), reply.column("n")[0].as_py()))
         asked = np.concatenate([r.column("gram").chunk(0).values.to_numpy() for r in answers])
         likely = np.concatenate([r.column("p").chunk(0).values.to_numpy() for r in answers])
-        everything, bounds = grams(texts)
-        look_up, each = Lookup(asked, likely), np.zeros(len(everything))
-        for i in range(0, len(everything), SLICE):
-            each[i:i + SLICE] = look_up(everything[i:i + SLICE])
-        rows = {"n_tokens": [], "n_known": [], "words": [], "score": np.add.reduceat(each, bounds[:-1])}
+        look_up, total = Lookup(asked, likely), np.zeros(len(texts))
+        for places, numbers, begins in grams(texts):
+            total[places] += np.add.reduceat(look_up(numbers), begins)
+        rows = {"n_tokens": [], "n_known": [], "words": [], "score": total}
         for value in texts:
-            n, known, total = 1, int(ends > 0), float(np.log10(ends + 1))
+            n, known, logs = 1, int(ends > 0), float(np.log10(ends + 1))
             for piece in blocks.pieces(value.lower()):
                 words = piece.split()
                 found = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
                 n, known = n + len(found), known + int((found > 0).sum())
-                total += float(np.log10(found + 1).sum())
-            for name, x in zip(("n_tokens", "n_known", "words"), (n, known, total)):
+                logs += float(np.log10(found + 1).sum())
+            for name, x in zip(("n_tokens", "n_known", "words"), (n, known, logs)):
                 rows[name].append(x)
         result = table.drop_columns(["text", "train"])
         for name, kind in new.items():

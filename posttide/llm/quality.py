@@ -19,7 +19,7 @@ SAMPLE = 800
 SAMPLE_BYTES = 64 << 10
 DICTIONARY = 32 << 10
 LEVEL = 3
-PIECE = 2048
+PIECE = 512
 
 
 def cut(text: bytes, size: int) -> list[bytes]:
@@ -35,8 +35,9 @@ def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
         return b"".join(samples)[-size:]
 
 
-class Difference:
-    """(bytes after the good dictionary - bytes after the bad one) / bytes of the text. A text is compressed in
+class Compression:
+    """What compression says of a text: (bytes after the good dictionary - bytes after the bad one) / bytes of the
+    text, and the logarithm of its compressed share, which tells repetition from prose. A text is compressed in
     pieces, each after the dictionary, so that all of a long text is held against both."""
 
     def __init__(self, good: bytes, bad: bytes):
@@ -48,25 +49,30 @@ class Difference:
         made.precompute_compress(level=LEVEL)
         return made
 
-    def __call__(self, text: bytes) -> float:
-        good, bad = (sum(len(c.compress(p)) for p in cut(text, PIECE)) for c in self.pair)
-        return (good - bad) / max(len(text), 1)
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """P(y=1) = 1 / (1 + exp(-(intercept + slope * x))) by Newton steps with a
-    small ridge; returned as (intercept, slope)."""
-    design = np.stack([np.ones_like(x), x * 10], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
+    def __call__(self, text: bytes) -> tuple[float, float]:
+        if not text:
+            return 0.0, 0.0
+        pieces = cut(text, PIECE)
+        good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.pair)
+        return (good - bad) / len(text), float(np.log(good / len(text)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[float]]:
+    """Intercept and slopes of P(y=1) = 1 / (1 + exp(-(intercept + x . slopes))), by Newton steps with a small
+    ridge on standardised columns."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    design = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    beta = np.zeros(design.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - 1e-2 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 0.1 * beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1] * 10)
+    slopes = beta[1:] / scale
+    return float(beta[0] - slopes @ mean), slopes.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text") -> dict:
@@ -91,11 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text") -
         return {"constant": shares.get(1, 0) / total if total else 0.5}
     learnt, tried = ({q: (t[k::2] or t) for q, t in by_class.items()} for k in (0, 1))
     model = {"good": dictionary(learnt[1]), "bad": dictionary(learnt[0])}
-    difference = Difference(**model)
-    x = np.array([difference(t) for q in (0, 1) for t in tried[q]])
+    compression = Compression(**model)
+    x = np.array([compression(t) for q in (0, 1) for t in tried[q]])
     y = np.repeat([0.0, 1.0], [len(tried[0]), len(tried[1])])
     weight = np.where(y == 1, shares[1] / len(tried[1]), shares[0] / len(tried[0])) * len(y) / total
-    model["intercept"], model["slope"] = fit_logistic(x, y, weight)
+    model["intercept"], model["slopes"] = fit_logistic(x, y, weight)
     return model
 
 
@@ -114,13 +120,14 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        difference = None if "constant" in fitted else Difference(fitted["good"], fitted["bad"])
+        compression = None if "constant" in fitted else Compression(fitted["good"], fitted["bad"])
         for batch in batches:
             texts = blocks.text_bytes(batch.column("text"))
-            if difference is None:
+            if compression is None:
                 values = np.full(batch.num_rows, float(fitted["constant"]))
             else:
-                logits = np.array([fitted["intercept"] + fitted["slope"] * difference(t) for t in texts])
+                found = np.array([compression(t) for t in texts]).reshape(-1, 2)
+                logits = fitted["intercept"] + found @ np.array(fitted["slopes"])
                 values = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values, pa.float64())],
                                              [*names, "score"])

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttide.llm import bpe, langmodel, language, quality, simhash, substring, tokencount
+from posttide.llm import (bpe, decontaminate, langmodel, language, licenses, quality, simhash, substring, tokencount,
+                          topk)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +100,33 @@ def op9_language_id(spark, sf):
     model = language.fit(docs, remainder(3) != 1)
     found = language.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_license_scan(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents"), keep=["doc_id"])
+
+
+@query
+def op7_exact_top_k(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), k=5, every=50)
+
+
+ORACLE["op7_exact_top_k"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+           FROM embeddings
+           WHERE embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+     scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id,
+                       CAST(list_dot_product([CAST(x AS DOUBLE) FOR x IN q.w], [CAST(x AS DOUBLE) FOR x IN c.w]) AS BIGINT)
+                           AS score, c.r AS other
+                FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.w) = len(c.w)),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS k FROM scored)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM ranked WHERE k <= 5
+"""
+
+
+@query
+def op10_benchmark_decontamination(spark, sf):
+    return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
