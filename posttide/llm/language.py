@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posttide.llm import blocks
+from posttide.operators.joins import lookup_join
+from posttide.session import materialize
 
 #: The fit takes at most this many documents of each language, of at most this many bytes, and words of them.
 SAMPLE = 150
@@ -142,17 +144,28 @@ def train(words: list[bytes], labels: np.ndarray, languages: int, epochs: int =
     return net
 
 
+def smallest_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """At most `n` rows (group, h, ...) of each group with the smallest distinct hashes `h`.
+
+    Counts of the groups give a bound below which about four times as many hashes lie, so that the ranking gets a
+    number of rows that does not grow with the input, however large a group is.
+    """
+    counts = materialize(rows.groupBy(group).agg(F.count("*").alias("_n")), "sample-counts")
+    share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    near = lookup_join(rows, counts, [group], "inner").where(share * F.col("_n") < 4 * n).drop("_n").distinct()
+    order = Window.partitionBy(group).orderBy(share, *rows.columns)
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+
+
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> dict:
     """Learned languages and weights. Uses only texts and non-null languages of documents for which `learn` holds:
     of each language at most SAMPLE documents of at most SAMPLE_BYTES bytes, in the order of a hash of the text,
     and WORDS distinct words in all. Without any such document nothing is learned."""
-    known = docs.where(learn & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
-    hashed = known.select(F.col(lang).alias("lang"), F.col(text).alias("text")).distinct()
-    order = Window.partitionBy("lang").orderBy("h")
-    marked = hashed.select("lang", F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(order))
-    chosen = marked.where(F.col("n") <= SAMPLE).select("lang", "h")
-    rows = (hashed.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
-            .orderBy("lang", "h", "text").collect())
+    known = docs.where(learn & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    chosen = smallest_hashes(known.select("lang", "h"), "lang", SAMPLE).drop("n")
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = rows.orderBy("lang", "h").collect()
     languages = sorted({r.lang for r in rows})
     if not languages:
         return {"languages": [], "weights": None}

@@ -10,9 +10,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from posttide.llm import blocks
+from posttide.llm.language import smallest_hashes
+from posttide.session import materialize
 
 #: The fit takes at most this many labelled documents of each class, of at most this many bytes.
 SAMPLE = 800
@@ -83,14 +84,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text") -
     are counted over all labelled documents.
     """
     marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    joined = docs.where(learn).select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(marked, "doc_id")
-    hashed = joined.select("doc_id", "quality", F.octet_length("text").alias("size"), F.xxhash64("text", "doc_id").alias("h"))
-    order = Window.partitionBy("quality").orderBy("h", "doc_id")
-    chosen = (hashed.where(F.col("size") <= SAMPLE_BYTES).withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= SAMPLE).select("doc_id", "quality", "h", "n"))
-    rows = (joined.withColumn("h", F.xxhash64("text", "doc_id")).join(F.broadcast(chosen), ["doc_id", "quality", "h"])
-            .select("quality", "n", "text").dropDuplicates(["quality", "n"]).orderBy("quality", "n").collect())
-    shares = dict(marked.join(docs.where(learn).select("doc_id"), "doc_id").groupBy("quality").count().collect())
+    known = docs.where(learn).select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    known = known.withColumn("h", F.xxhash64("text", "doc_id"))
+    small = known.select("doc_id", "h", (F.octet_length("text") <= SAMPLE_BYTES).alias("fits"))
+    found = materialize(small.join(marked, "doc_id").select("quality", "h", "doc_id", "fits"), "labelled")
+    shares = dict(found.groupBy("quality").count().collect())
+    chosen = smallest_hashes(found.where("fits").select("quality", "h", "doc_id"), "quality", SAMPLE)
+    rows = (known.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("quality", "n").agg(F.min("text").alias("text"))
+            .orderBy("quality", "n").collect())
     by_class = {q: [r.text.encode() for r in rows if r.quality == q] for q in (0, 1)}
     total = sum(shares.values())
     if not by_class[0] or not by_class[1]:
