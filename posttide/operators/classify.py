@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +21,17 @@ from posttide.session import materialize
 SCORED = T.StructType([T.StructField("sentiment", T.StringType()),
                        T.StructField("sentiment_score", T.DoubleType())])
 
+# A task with fewer texts than this may fail on all of them.
+LEAST_TEXTS = 32
+
 # A model takes texts and gives one (label, probability) per text.
 TextModel = Callable[[list[str]], Sequence[tuple[str, float]]]
 
 
+class ModelFailed(RuntimeError):
+    """A caller's model failed on every text of a task: it is broken, not the texts."""
+
+
 def _score_texts(model: TextModel, texts: list[str]) -> list[tuple[str | None, float | None]]:
     """Score a batch; if it fails, score its texts alone and leave the failing ones empty."""
     try:
@@ -43,17 +50,23 @@ def score_sentiment(df: DataFrame, make_model: Callable[[], TextModel], batch_si
     """Add `sentiment` and `sentiment_score` with a caller's model, in Arrow batches.
 
     `make_model` runs once per Python task. Texts that are NULL or make the
-    model fail keep both columns NULL; the job goes on.
+    model fail keep both columns NULL and the job goes on, but a task whose
+    texts all fail, `LEAST_TEXTS` or more, stops the job. `failed_texts` counts
+    the failures.
     """
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+        model, seen, failed = make_model(), 0, 0
         for series in batches:
             given = series[series.notna()]
             results = [r for at in range(0, len(given), batch_size)
                        for r in _score_texts(model, given.iloc[at:at + batch_size].tolist())]
+            seen += len(results)
+            failed += sum(label is None for label, _ in results)
             out = pd.DataFrame(results, columns=SCORED.names, index=given.index, dtype=object)
             out = out.reindex(series.index)
             yield out.astype({"sentiment_score": "float64"}).where(out.notna(), None)
+        if failed == seen >= LEAST_TEXTS:
+            raise ModelFailed(f"the model failed on all {seen} texts of a task")
 
     udf = F.pandas_udf(run, returnType=SCORED)
     return (df.withColumn("_scored", udf(F.col(column)))
@@ -61,6 +74,11 @@ def score_sentiment(df: DataFrame, make_model: Callable[[], TextModel], batch_si
             .drop("_scored"))
 
 
+def failed_texts(scored: DataFrame, column: str = "text") -> DataFrame:
+    """One row, `n_failed`: texts that are there but got no label."""
+    return scored.agg(F.count(F.when(F.col(column).isNotNull() & F.col("sentiment").isNull(), 1)).alias("n_failed"))
+
+
 def score_with_classifier(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """The same columns from a fitted two-class Spark model (label 1 is positive)."""
     inputs = df.select(F.struct(*df.columns).alias("_row"), F.coalesce(column, F.lit("")).alias("text"))
@@ -71,21 +89,50 @@ def score_with_classifier(df: DataFrame, model: Model, column: str = "text") ->
         "_row.*", F.when(given, label).alias("sentiment"), F.when(given, best).alias("sentiment_score"))
 
 
-def default_classifier(features: int = 1 << 16, max_iter: int = 20) -> Pipeline:
+class Classifier:
+    """A classifier in two halves: `prepare` turns texts into features row by row and needs no fit, so it runs
+    once for all folds; `estimator` is fitted on `label` and what `prepare` adds."""
+
+    def __init__(self, prepare: Transformer, estimator: Estimator):
+        self.prepare, self.estimator = prepare, estimator
+
+
+def default_classifier(features: int = 1 << 16, max_iter: int = 20) -> Classifier:
     """Hashed TF-IDF words into a logistic regression; expects `text` and `label`."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_words", gaps=False, pattern=r"[\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="features"),
-        LogisticRegression(maxIter=max_iter),
-    ])
+    words = RegexTokenizer(inputCol="text", outputCol="_words", gaps=False, pattern=r"[\p{L}\p{N}]+")
+    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
+    return Classifier(PipelineModel([words, counts]),
+                      Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"),
+                                       LogisticRegression(maxIter=max_iter)]))
+
+
+def bayes_classifier(words: Sequence[str], pattern: str = r"[a-z]+") -> Classifier:
+    """Counts of the given words into a multinomial naive Bayes model, which has a closed form."""
+    split = RegexTokenizer(inputCol="text", outputCol="_words", gaps=False, pattern=pattern)
+    counts = CountVectorizerModel.from_vocabulary(list(words), inputCol="_words", outputCol="features")
+    return Classifier(PipelineModel([split, counts]), NaiveBayes(smoothing=1.0))
+
+
+def _labelled(df: DataFrame, *extra: str) -> DataFrame:
+    """Rows with a label; NULL texts are empty."""
+    return df.where(F.col("label").isNotNull()).select(
+        *extra, F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
 
 
-def train_classifier(df: DataFrame, estimator: Estimator | None = None) -> Model:
-    """Fit on (text, label) rows; rows without label are left out, NULL texts are empty."""
-    rows = df.where(F.col("label").isNotNull()).select(
-        F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
-    return (estimator or default_classifier()).fit(rows)
+def _halves(estimator: Estimator | Classifier | None) -> Classifier:
+    if isinstance(estimator, Classifier):
+        return estimator
+    return Classifier(PipelineModel([]), estimator) if estimator else default_classifier()
+
+
+def train_classifier(df: DataFrame, estimator: Estimator | Classifier | None = None) -> PipelineModel:
+    """Fit on (text, label) rows; rows without label are left out, NULL texts are empty.
+
+    The features are written once, so that no pass of the fit reads or cuts texts again.
+    """
+    parts = _halves(estimator)
+    rows = materialize(parts.prepare.transform(_labelled(df)).drop("_words"), "training-features")
+    return PipelineModel([parts.prepare, parts.estimator.fit(rows)])
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:
@@ -97,26 +144,33 @@ def wrong_predictions(predictions: DataFrame) -> DataFrame:
     return predictions.where(F.col("prediction") != F.col("label"))
 
 
-def fold_predictions(df: DataFrame, estimator: Estimator | None = None, k: int = 5, seed: int = 42,
+def fold_predictions(df: DataFrame, estimator: Estimator | Classifier | None = None, k: int = 5, seed: int = 42,
                      ids: Sequence[str] = ("id",)) -> DataFrame:
-    """Every row predicted by the model trained on the other folds: ids, text, label, fold, prediction."""
-    rows = df.where(F.col("label").isNotNull()).select(
-        *ids, F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
-    folds = materialize(assign_folds(rows, k, seed, ids), "folds")
+    """Every row predicted by the model trained on the other folds: ids, text, label, fold, prediction.
+
+    Texts become features once, before the folds; a fold only fits what must be fitted.
+    """
+    parts = _halves(estimator)
+    assigned = assign_folds(_labelled(df, *ids), k, seed, ids)
+    folds = materialize(parts.prepare.transform(assigned).drop("_words"), "folds")
     predicted = []
     for fold in range(1, k + 1):
-        model = train_classifier(folds.where(F.col("fold") != fold), estimator)
+        model = parts.estimator.fit(folds.where(F.col("fold") != fold))
         predicted.append(model.transform(folds.where(F.col("fold") == fold))
-                         .select(*folds.columns, "prediction"))
+                         .select(*ids, "text", "label", "fold", "prediction"))
     return reduce(DataFrame.unionByName, predicted)
 
 
-def cross_validate(df: DataFrame, estimator: Estimator | None = None, k: int = 5, seed: int = 42,
-                   ids: Sequence[str] = ("id",)) -> DataFrame:
+def fold_accuracy(predictions: DataFrame) -> DataFrame:
     """(fold, accuracy), one row per fold."""
     right = (F.col("prediction") == F.col("label")).cast("int")
-    return (fold_predictions(df, estimator, k, seed, ids)
-            .groupBy("fold").agg(F.avg(right).alias("accuracy")))
+    return predictions.groupBy("fold").agg(F.avg(right).alias("accuracy"))
+
+
+def cross_validate(df: DataFrame, estimator: Estimator | Classifier | None = None, k: int = 5, seed: int = 42,
+                   ids: Sequence[str] = ("id",)) -> DataFrame:
+    """(fold, accuracy), one row per fold."""
+    return fold_accuracy(fold_predictions(df, estimator, k, seed, ids))
 
 
 def mean_accuracy(folds: DataFrame) -> DataFrame:

@@ -100,3 +100,17 @@ def bag_of_words(df: DataFrame, terms: list[str], tokens: str = "tokens",
     counts = F.unwrap_udt(name)["values"]
     total = F.aggregate(counts, F.lit(0.0), lambda total, n: total + n).cast("bigint")
     return model.transform(df).withColumn("n_terms", total)
+
+
+def bag_rows(bags: DataFrame, terms: list[str], key: str, name: str = "features") -> DataFrame:
+    """(key, term, n) of every bag; a bag without any term is one row without term and n 0.
+
+    The vocabulary has at most as many rows as its limit, so it is broadcast.
+    """
+    places = bags.sparkSession.createDataFrame(list(enumerate(terms)), "place int, term string")
+    vector = F.unwrap_udt(name)
+    each = bags.select(key, F.explode_outer(F.arrays_zip(vector["indices"].alias("place"),
+                                                         vector["values"].alias("n"))).alias("e"))
+    return (each.select(key, F.col("e.place").alias("place"), F.col("e.n").alias("n"))
+            .join(F.broadcast(places), "place", "left")
+            .select(key, "term", F.coalesce(F.col("n").cast("bigint"), F.lit(0)).alias("n")))

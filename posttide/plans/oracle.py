@@ -7,6 +7,7 @@ ids by one window, lemmas by stripping suffixes, t tails by numeric integration.
 from __future__ import annotations
 
 from posttide.functions import text
+from posttide.operators import topics
 from posttide.operators.lemmas import SUFFIX_RULES
 from posttide.plans import adapters
 from posttide.plans.queries import PERIOD, SAMPLE
@@ -205,7 +206,7 @@ def _ngrams(n: int) -> str:
     return f"""
     SELECT {run} AS ngram, count(*) AS n FROM (
       SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM (
-        SELECT {_words('text')} AS w FROM english))
+        SELECT {_words('text')} AS w FROM posts))
     GROUP BY 1"""
 
 
@@ -249,6 +250,29 @@ def _lemmatised(rows: str) -> dict[str, str]:
     }
 
 
+def _bayes(learnt: str, asked: str) -> dict[str, str]:
+    """Naive Bayes over word counts: `asked` (k, text, fold) scored by all rows of `learnt` in other folds."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+    return {
+        "learnt": learnt, "asked": asked,
+        "known": f"""SELECT term FROM (SELECT textID, unnest({words}) AS term FROM rows) GROUP BY term
+                     HAVING count(DISTINCT textID) >= 3 ORDER BY count(*) DESC, term LIMIT 5000""",
+        "each": f"SELECT fold, label, term FROM (SELECT fold, label, unnest({words}) AS term FROM learnt) SEMI JOIN known USING (term)",
+        "tried": "SELECT DISTINCT fold FROM asked",
+        "docs": """SELECT t.fold, count(*) FILTER (label = 0) AS d0, count(*) FILTER (label = 1) AS d1
+                   FROM tried t JOIN learnt l ON l.fold <> t.fold GROUP BY t.fold""",
+        "terms": """SELECT t.fold, term, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1
+                    FROM tried t JOIN each e ON e.fold <> t.fold GROUP BY t.fold, term""",
+        "sums": "SELECT fold, sum(c0) + (SELECT count(*) FROM known) AS t0, sum(c1) + (SELECT count(*) FROM known) AS t1 FROM terms GROUP BY fold",
+        "used": f"""SELECT k, fold, term FROM (SELECT k, fold, unnest({words}) AS term FROM asked) SEMI JOIN known USING (term)""",
+        "logs": """SELECT k, sum(ln(coalesce(c0, 0) + 1) - ln(t0)) AS l0, sum(ln(coalesce(c1, 0) + 1) - ln(t1)) AS l1
+                   FROM used JOIN sums USING (fold) LEFT JOIN terms USING (fold, term) GROUP BY k""",
+        "scored": """SELECT k, coalesce(l0, 0) + ln(d0 + 1) - ln(d0 + d1 + 2) AS s0,
+                     coalesce(l1, 0) + ln(d1 + 1) - ln(d0 + d1 + 2) AS s1
+                     FROM asked JOIN docs USING (fold) LEFT JOIN logs USING (k)""",
+    }
+
+
 def build() -> dict[str, str]:
     posts = _ctes(posts=POSTS)
     english = _ctes(posts=POSTS, english=ENGLISH)
@@ -266,6 +290,25 @@ def build() -> dict[str, str]:
     key = NUMBERED_KEY.format(0, "id")
     numbered = f"SELECT *, row_number() OVER (PARTITION BY year_month ORDER BY {key}, id) AS place FROM labelled"
     t_alpha = "2.1318467863266499"
+    accuracy_row = f"""SELECT round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS sd, count(a) AS n,
+            round((avg(a) - 0.333e0) / (stddev_pop(a) / sqrt(count(a))), 6) AS t,
+            round({t_alpha}e0, 6) AS critical,
+            (avg(a) - 0.333e0) / (stddev_pop(a) / sqrt(count(a))) > {t_alpha}e0 AS reject FROM accuracies"""
+    vocabulary = _ctes(
+        posts=POSTS, stats=_terms("posts"), vocab=VOCABULARY,
+        counted=f"""SELECT row_key, term FROM (SELECT row_key, unnest({_words('text', text.TOPIC_WORD)}) AS term
+                    FROM posts) SEMI JOIN vocab USING (term)""",
+        topic_numbers=f"SELECT unnest(range({topics.TOPICS})) AS topic",
+        raw_weights="""SELECT topic, term, term_freq * ((length(term) * 7 + topic * 3) % 11 + 1) AS raw
+                       FROM vocab CROSS JOIN topic_numbers""",
+        weights="SELECT topic, term, raw / sum(raw) OVER (PARTITION BY topic) AS weight FROM raw_weights",
+        sizes="SELECT row_key, count(term) AS n_terms FROM posts LEFT JOIN counted USING (row_key) GROUP BY row_key",
+        raw_shares="""SELECT row_key, n_terms, topic, (row_key * 31 + topic * 17) % 97 + 1 AS raw
+                      FROM sizes CROSS JOIN topic_numbers""",
+        shares="SELECT row_key, n_terms, topic, raw / sum(raw) OVER (PARTITION BY row_key) AS share FROM raw_shares")
+    folded = _ctes(training=TRAINING, rows=TRAINING_ROWS, folds=FOLDS.format(key="textID", source="rows"),
+                   **_bayes("SELECT * FROM folds", "SELECT textID AS k, text, fold FROM folds"),
+                   predicted="SELECT folds.*, s0, s1 FROM folds JOIN scored ON k = textID")
     sql = {
         "language_filter": f"{english} SELECT location, tweetcreatedts, text, hashtags FROM english",
         "post_projection": f"""{posts} SELECT row_key, tweetcreatedts AS date, {_light('text')} AS text,
@@ -382,13 +425,37 @@ def build() -> dict[str, str]:
             SELECT round_even(avg(CASE WHEN NOT isnan(p) AND p < 0.05 THEN 1 ELSE 0 END), 2) AS rejected_ratio
             FROM tails""",
         "term_stats": f"{posts} {_terms('posts')}",
-        "top_ngrams": f"{english} {_ngrams(2)} ORDER BY n DESC, ngram LIMIT 10",
-        "trigram_counts": f"{english} {_ngrams(3)}",
-        "vocabulary": f"{_ctes(posts=POSTS, english=ENGLISH, stats=_terms('english'))} {VOCABULARY}",
-        "bag_of_words": f"""{_ctes(posts=POSTS, english=ENGLISH, stats=_terms('english'), vocab=VOCABULARY)}
-            SELECT row_key, count(term) AS n_terms, count(DISTINCT term) AS n_distinct FROM english
-            LEFT JOIN (SELECT row_key, unnest({_words('text', text.TOPIC_WORD)}) AS term FROM english) w
-              USING (row_key) SEMI JOIN vocab USING (term) GROUP BY row_key""",
+        "top_ngrams": f"{posts} {_ngrams(2)} ORDER BY n DESC, ngram LIMIT 10",
+        "trigram_counts": f"{posts} {_ngrams(3)}",
+        "vocabulary": f"{vocabulary} SELECT * FROM vocab",
+        "bag_of_words": f"""{vocabulary} SELECT row_key, term, count(term) AS n FROM posts
+            LEFT JOIN counted USING (row_key) GROUP BY row_key, term""",
+        "topic_terms": f"""{vocabulary} SELECT CAST(topic AS INTEGER) AS topic,
+            CAST(rank AS INTEGER) AS rank, term, weight FROM (
+              SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM weights)
+            WHERE rank <= 50""",
+        "topic_shares": f"""{vocabulary} SELECT CAST(topic AS INTEGER) AS topic, round(mass / sum(mass) OVER (), 9) AS share
+            FROM (SELECT topic, sum(share * n_terms) AS mass FROM shares GROUP BY topic)""",
+        "term_relevance": f"""{vocabulary} SELECT CAST(topic AS INTEGER) AS topic, term,
+            round(0.6e0 * ln(weight) + 0.4e0 * ln(weight / (term_freq / (SELECT sum(term_freq) FROM vocab))), 6) AS relevance
+            FROM weights JOIN vocab USING (term)""",
+        "dominant_topic": f"""{vocabulary} SELECT row_key, CAST(topic AS INTEGER) AS topic FROM shares
+            QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY share DESC, topic) = 1""",
+        "topic_model": f"""{vocabulary} SELECT (SELECT count(*) FROM posts) AS n_posts,
+            (SELECT count(*) FROM posts) AS n_sum_to_one, CAST({topics.TOPICS} AS BIGINT) AS n_topics,
+            count(*) AS n_terms, {topics.TOPICS} * count(*) AS n_weights, CAST({topics.TOPICS} AS DOUBLE) AS weight_sum
+            FROM vocab""",
+        "score_sentiment": f"""{_ctes(posts=POSTS, training=TRAINING, rows=TRAINING_ROWS, **_bayes(
+              'SELECT *, 0 AS fold FROM rows', "SELECT CAST(row_key AS VARCHAR) AS k, text, 1 AS fold FROM posts"))}
+            SELECT row_key, CASE WHEN text IS NULL THEN NULL WHEN s1 > s0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
+            CASE WHEN text IS NOT NULL THEN round(1 / (1 + exp(-abs(s1 - s0))), 4) END AS sentiment_score
+            FROM posts JOIN scored ON k = CAST(row_key AS VARCHAR)""",
+        "cross_validate": f"""{folded} SELECT CAST(fold AS INTEGER) AS fold,
+            avg(CASE WHEN (s1 > s0) = (label = 1) THEN 1 ELSE 0 END) AS accuracy FROM predicted GROUP BY fold""",
+        "wrong_predictions": f"""{folded} SELECT textID, label, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS prediction,
+            CAST(fold AS INTEGER) AS fold FROM predicted WHERE (s1 > s0) <> (label = 1)""",
+        "accuracy_test": f"""{folded}, accuracies AS (SELECT avg(CASE WHEN (s1 > s0) = (label = 1) THEN 1 ELSE 0 END) AS a
+              FROM predicted GROUP BY fold) {accuracy_row}""",
         "score_sentiment_batches": f"""{english} SELECT row_key,
             CASE WHEN vowels = 0 THEN NULL WHEN e >= 0.5 * vowels THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
             CASE WHEN vowels > 0 THEN round(greatest(e / vowels, 1 - e / vowels), 4) END AS sentiment_score
@@ -397,9 +464,6 @@ def build() -> dict[str, str]:
         "fold_label_test": f"""{_ctes(training=TRAINING, rows=TRAINING_ROWS,
               folds=FOLDS.format(key='textID', source='rows'),
               accuracies='SELECT avg(label) AS a FROM folds GROUP BY fold')}
-            SELECT round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS sd, count(a) AS n,
-            round((avg(a) - 0.333e0) / (stddev_pop(a) / sqrt(count(a))), 6) AS t,
-            round({t_alpha}e0, 6) AS critical,
-            (avg(a) - 0.333e0) / (stddev_pop(a) / sqrt(count(a))) > {t_alpha}e0 AS reject FROM accuracies""",
+            {accuracy_row}""",
     }
     return {name: statement.strip() for name, statement in sql.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posttide import schemas
@@ -387,59 +387,109 @@ def term_stats(spark, sf):
 
 @query
 def top_ngrams(spark, sf):
-    return terms.top_ngrams(english(spark, sf))
+    return terms.top_ngrams(raw_posts(spark, sf))
 
 
 @query
 def trigram_counts(spark, sf):
-    return terms.ngram_counts(english(spark, sf), 3)
+    return terms.ngram_counts(raw_posts(spark, sf), 3)
 
 
 @query
 def vocabulary(spark, sf):
-    return terms.vocabulary(terms.topic_words(english(spark, sf)))
+    return terms.vocabulary(terms.topic_words(raw_posts(spark, sf)))
+
+
+def bags(spark, sf):
+    """Bags of all posts, the vocabulary, and its terms in order."""
+    tokens = materialize(terms.topic_words(raw_posts(spark, sf)).select("row_key", "tokens"), "topic-words")
+    vocab = materialize(terms.vocabulary(tokens), "vocabulary")
+    words = terms.term_list(vocab)
+    return terms.bag_of_words(tokens, words), vocab, words
 
 
 @query
 def bag_of_words(spark, sf):
-    """Counted tokens and distinct terms of each document."""
-    tokens = terms.topic_words(english(spark, sf))
-    bags = terms.bag_of_words(tokens, terms.term_list(terms.vocabulary(tokens)))
-    distinct = F.size(F.unwrap_udt("features")["indices"]).cast("bigint")
-    return bags.select("row_key", "n_terms", distinct.alias("n_distinct"))
+    found, _, words = bags(spark, sf)
+    return terms.bag_rows(found, words, "row_key")
+
+
+# The tables of a topic model, from weights and shares that a rule gives for the terms and posts at hand.
+
+def topic_numbers():
+    return F.sequence(F.lit(0), F.lit(topics.TOPICS - 1))
 
 
-def topic_tables(spark, sf):
-    return reports.topic_report(english(spark, sf).select("row_key", "text"), top=50, passes=2)
+def weights_by_rule(vocab: DataFrame) -> DataFrame:
+    each = vocab.select("term", "term_freq", F.explode(topic_numbers()).alias("topic"))
+    raw = F.col("term_freq") * ((F.length("term") * 7 + F.col("topic") * 3) % 11 + 1)
+    total = F.sum("raw").over(Window.partitionBy("topic"))
+    return each.withColumn("raw", raw).select("topic", "term", (F.col("raw") / total).alias("weight"))
+
+
+def shares_by_rule(found: DataFrame) -> DataFrame:
+    raw = F.transform(topic_numbers(), lambda k: (F.col("row_key") * 31 + k * 17) % 97 + 1)
+    total = F.aggregate("raw", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return found.withColumn("raw", raw).withColumn("topics", F.transform("raw", lambda x: x / total))
 
 
 @query
 def topic_terms(spark, sf):
-    return topic_tables(spark, sf)["topic_terms"]
+    _, vocab, _ = bags(spark, sf)
+    return topics.top_terms(weights_by_rule(vocab), 50)
 
 
 @query
 def topic_shares(spark, sf):
-    return topic_tables(spark, sf)["topic_shares"]
+    found, _, _ = bags(spark, sf)
+    return topics.topic_shares(shares_by_rule(found)).select("topic", F.round("share", 9).alias("share"))
 
 
 @query
 def term_relevance(spark, sf):
-    return topic_tables(spark, sf)["term_relevance"]
+    _, vocab, _ = bags(spark, sf)
+    found = topics.term_relevance(weights_by_rule(vocab), vocab)
+    return found.select("topic", "term", F.round("relevance", 6).alias("relevance"))
 
 
 @query
 def dominant_topic(spark, sf):
-    return topic_tables(spark, sf)["documents"].select("row_key", "topic")
+    found, _, _ = bags(spark, sf)
+    return topics.dominant_topic(shares_by_rule(found)).select("row_key", "topic")
+
+
+@query
+def topic_model(spark, sf):
+    """What must hold of the fitted model: every post has shares that sum to 1, every topic weighs every term."""
+    report = reports.topic_report(raw_posts(spark, sf).select("row_key", "text"))
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    documents = report["documents"].agg(
+        F.count("*").alias("n_posts"), F.count(F.when(F.abs(total - 1) < 1e-6, 1)).alias("n_sum_to_one"))
+    weights = report["topic_weights"].agg(
+        F.count_distinct("topic").alias("n_topics"), F.count_distinct("term").alias("n_terms"),
+        F.count("*").alias("n_weights"), F.round(F.sum("weight"), 6).alias("weight_sum"))
+    one = F.lit(1).alias("one")
+    return documents.select("*", one).join(weights.select("*", one), "one").drop("one")
 
 
 # Models
 
+def training_posts(spark, sf):
+    return materialize(posts.training_rows(training(spark, sf), ["textID"]), "training-rows")
+
+
+def word_bayes(rows: DataFrame) -> classify.Classifier:
+    """Naive Bayes over the vocabulary of all training texts: a model in closed form, which SQL can repeat."""
+    words = rows.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    return classify.bayes_classifier(terms.term_list(terms.vocabulary(words)))
+
+
 @query
 def score_sentiment(spark, sf):
-    """The default classifier, trained on the labelled texts, over all English posts."""
-    model = classify.train_classifier(posts.training_rows(training(spark, sf)))
-    return classify.score_with_classifier(english(spark, sf), model).select(
+    """A classifier trained on all labelled texts, over all posts."""
+    rows = training_posts(spark, sf)
+    model = classify.train_classifier(rows, word_bayes(rows))
+    return classify.score_with_classifier(raw_posts(spark, sf), model).select(
         "row_key", "sentiment", F.round("sentiment_score", 4).alias("sentiment_score"))
 
 
@@ -460,20 +510,26 @@ def vowel_model() -> classify.TextModel:
 
 @query
 def cross_validate(spark, sf):
-    rows = posts.training_rows(training(spark, sf), ["textID"])
-    return classify.cross_validate(rows, ids=["textID"])
+    rows = training_posts(spark, sf)
+    return classify.cross_validate(rows, word_bayes(rows), ids=["textID"])
 
 
 @query
 def wrong_predictions(spark, sf):
-    rows = posts.training_rows(training(spark, sf), ["textID"])
-    return classify.wrong_predictions(classify.fold_predictions(rows, ids=["textID"])).select(
-        "textID", "label", "prediction", "fold")
+    rows = training_posts(spark, sf)
+    predicted = classify.fold_predictions(rows, word_bayes(rows), ids=["textID"])
+    return classify.wrong_predictions(predicted).select(
+        "textID", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "fold")
 
 
 @query
 def accuracy_test(spark, sf):
-    return reports.accuracy_report(training(spark, sf))["test"]
+    bayes = word_bayes(training_posts(spark, sf))
+    return rounded_test(reports.accuracy_report(training(spark, sf), bayes)["test"])
+
+
+def rounded_test(tested: DataFrame) -> DataFrame:
+    return tested.select(*[F.round(c, 6).alias(c) for c in ("mean_accuracy", "sd", "t", "critical")], "n", "reject")
 
 
 @query
@@ -481,5 +537,4 @@ def fold_label_test(spark, sf):
     """The accuracy test on a constant guess: per fold, the share of positive training texts."""
     rows = posts.training_rows(training(spark, sf), ["textID"])
     folds = ranking.assign_folds(rows, ids=["textID"]).groupBy("fold").agg(F.avg("label").alias("accuracy"))
-    return hypothesis.accuracy_test(folds).select(
-        *[F.round(c, 6).alias(c) for c in ("mean_accuracy", "sd", "t", "critical")], "n", "reject")
+    return rounded_test(hypothesis.accuracy_test(folds))

@@ -44,28 +44,31 @@ def sentiment_reports(labelled: DataFrame, **period) -> dict[str, DataFrame]:
 
 
 def topic_report(df: DataFrame, column: str = "text", k: int = topics.TOPICS, seed: int = topics.SEED,
-                 top: int = 50, passes: int = topics.PASSES) -> dict[str, DataFrame]:
-    """Vocabulary, topic terms, shares, relevance and documents with their main topic."""
-    spark = df.sparkSession
-    tokens = terms.topic_words(df, column)
+                 top: int = 50, passes: int = topics.PASSES, ngram: int = 2, top_runs: int = 10) -> dict[str, DataFrame]:
+    """Vocabulary, topic terms, shares, relevance, documents with their main topic, and the top n-grams."""
+    tokens = materialize(terms.topic_words(df, column), "topic-words")
     vocab = materialize(terms.vocabulary(tokens), "vocabulary")
-    words = terms.term_list(vocab)
-    bags = materialize(terms.bag_of_words(tokens, words), "bags")
+    bags = materialize(terms.bag_of_words(tokens, terms.term_list(vocab)).drop("tokens"), "bags")
     model = topics.fit_topics(bags, k, seed, passes=passes)
     documents = topics.dominant_topic(topics.document_topics(model, bags))
+    weights = materialize(topics.topic_weights(model, vocab), "topic-weights")
     return {
         "vocabulary": vocab,
-        "topic_terms": topics.top_terms(model, words, top, spark),
+        "topic_weights": weights,
+        "topic_terms": topics.top_terms(weights, top),
         "topic_shares": topics.topic_shares(documents),
-        "term_relevance": topics.term_relevance(model, words, vocab, spark),
-        "documents": documents.drop("tokens", "features"),
+        "term_relevance": topics.term_relevance(weights, vocab),
+        "documents": documents.drop("features"),
+        "top_ngrams": terms.top_ngrams(df, ngram, top_runs, column),
     }
 
 
-def accuracy_report(training: DataFrame, estimator: Estimator | None = None, k: int = 5, seed: int = 42,
-                    ids: Sequence[str] = ("textID",)) -> dict[str, DataFrame]:
-    """Fold accuracies, their mean, and the test against the baseline."""
+def accuracy_report(training: DataFrame, estimator: Estimator | classify.Classifier | None = None, k: int = 5,
+                    seed: int = 42, ids: Sequence[str] = ("textID",)) -> dict[str, DataFrame]:
+    """Fold accuracies, their mean, the test against the baseline, and the texts predicted wrong."""
     labelled = posts.training_rows(training, ids)
-    folds = materialize(classify.cross_validate(labelled, estimator, k, seed, ids), "fold-accuracies")
+    predicted = materialize(classify.fold_predictions(labelled, estimator, k, seed, ids), "fold-predictions")
+    folds = classify.fold_accuracy(predicted)
     return {"folds": folds, "mean": classify.mean_accuracy(folds),
-            "test": hypothesis.accuracy_test(folds)}
+            "test": hypothesis.accuracy_test(folds),
+            "wrong_predictions": classify.wrong_predictions(predicted)}
