@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import re
+from datetime import date
 
-from posttide.operators import places
+from pyspark.ml import PipelineModel
+
+from posttide import schemas
+from posttide.operators import classify, places, posts
 from posttide.plans import preprocess, reports
-from posttide.session import build_session
+from posttide.session import build_session, job_scratch
 from posttide.sources import readers, writers
 
 
@@ -16,24 +22,40 @@ def _save(tables: dict, out: str) -> None:
 
 
 def gazetteer(spark, a) -> None:
-    merged = places.merge_gazetteer(*[spark.read.options(header=True, escape='"').csv(p)
-                                      for p in (a.places, a.states)])
-    writers.write_gazetteer(places.project_gazetteer(merged), a.out)
+    parents = [readers.read_csv_by_header(spark, path, schemas.GAZETTEER_TYPES, glob="*", only_present=True)
+               .drop("file", "pos") for path in (a.places, a.states)]
+    writers.write_gazetteer(places.project_gazetteer(places.merge_gazetteer(*parents)), a.out)
 
 
 def preprocess_posts(spark, a) -> None:
     lexicon = spark.read.parquet(a.lexicon) if a.lexicon else None
-    preprocess.run(spark, a.posts, a.gazetteer, a.out, a.mode, lexicon,
+    preprocess.run(spark, a.posts, a.gazetteer, a.out, a.mode, lexicon, a.format,
                    case_insensitive=a.case_insensitive)
 
 
+def train(spark, a) -> None:
+    rows = posts.training_rows(readers.read_training(spark, a.training), ["textID"])
+    classify.train_classifier(rows).write().overwrite().save(a.out)
+
+
+def label(spark, a) -> None:
+    """The model is a folder that `train` wrote, or `module:function`, a function that makes a Python model."""
+    if re.fullmatch(r"[\w.]+:\w+", a.model):
+        module, name = a.model.split(":")
+        model = getattr(importlib.import_module(module), name)
+    else:
+        model = PipelineModel.load(a.model)
+    reports.run_labelling(spark, a.posts, a.out, model, a.format, n=a.rows)
+
+
 def sentiment_report(spark, a) -> None:
-    _save(reports.sentiment_reports(readers.read_labelled(spark, a.labelled)), a.out)
+    labelled = readers.read_labelled(spark, a.labelled, a.format)
+    _save(reports.sentiment_reports(labelled, start=a.start, end=a.end), a.out)
 
 
 def topic_report(spark, a) -> None:
-    posts = readers.read_month(spark, a.posts, a.month)
-    _save(reports.topic_report(posts.select("id", "text")), a.out)
+    month = readers.read_month(spark, a.posts, a.month, a.format)
+    _save(reports.topic_report(month.select("id", "text")), a.out)
 
 
 def accuracy_report(spark, a) -> None:
@@ -43,6 +65,8 @@ def accuracy_report(spark, a) -> None:
 JOBS = {
     "gazetteer": (gazetteer, ["places", "states", "out"]),
     "preprocess": (preprocess_posts, ["posts", "gazetteer", "out"]),
+    "train": (train, ["training", "out"]),
+    "label": (label, ["posts", "model", "out"]),
     "sentiment": (sentiment_report, ["labelled", "out"]),
     "topics": (topic_report, ["posts", "month", "out"]),
     "accuracy": (accuracy_report, ["training", "out"]),
@@ -56,12 +80,21 @@ def main() -> None:
         sub = jobs.add_parser(name)
         for option in needed:
             sub.add_argument(f"--{option}", required=True)
+        if name in ("preprocess", "label", "sentiment", "topics"):
+            sub.add_argument("--format", choices=["parquet", "csv"], default="parquet")
         if name == "preprocess":
             sub.add_argument("--mode", choices=[preprocess.LIGHT, preprocess.HEAVY], default=preprocess.LIGHT)
             sub.add_argument("--lexicon")
             sub.add_argument("--case-insensitive", action="store_true")
+        if name == "label":
+            sub.add_argument("--rows", type=int, default=reports.SAMPLE_ROWS, help="posts labelled per month")
+        if name == "sentiment":
+            sub.add_argument("--start", type=date.fromisoformat, default=posts.PERIOD_START)
+            sub.add_argument("--end", type=date.fromisoformat, default=posts.PERIOD_END)
     args = parser.parse_args()
-    JOBS[args.job][0](build_session(f"posttide-{args.job}"), args)
+    spark = build_session(f"posttide-{args.job}")
+    with job_scratch(spark):
+        JOBS[args.job][0](spark, args)
 
 
 if __name__ == "__main__":

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 HASHTAG_LIST = "array<struct<text:string>>"
 
 
-def hashtag_texts(c: Column) -> Column:
-    """Texts of a list such as ``[{'text': 'a'}]``; NULL where it is not such a list.
+def readable(c: Column) -> Column:
+    """An array with the texts of a list such as ``[{'text': 'a'}]``, empty where it is not such a list.
 
     Single quotes stand for double quotes, so an apostrophe inside a tag makes
-    the list unreadable. An empty list gives an empty array.
+    the list unreadable. An empty list has an empty array of texts. The list is
+    parsed once per row: a lambda variable is bound to its value.
     """
     quoted = F.replace(c, F.lit("'"), F.lit('"'))
     texts = F.from_json(quoted, HASHTAG_LIST)["text"]
     whole_list = F.trim(quoted).rlike(r"(?s)^\[.*\]$")
-    return F.when(whole_list & ~F.exists(texts, lambda t: t.isNull()), texts)
+    return F.filter(F.array(texts), lambda found: whole_list & found.isNotNull() & ~F.exists(found, lambda t: t.isNull()))
+
+
+def hashtag_texts(c: Column) -> Column:
+    """Texts of a list such as ``[{'text': 'a'}]``; NULL where it is not such a list."""
+    return F.get(readable(c), 0)

@@ -60,9 +60,12 @@ def lemmatize(df: DataFrame, lexicon: DataFrame | None, tokens: str = "tokens",
 
     `key` identifies a row. Only the distinct tokens of a row that do change
     travel: they come back as a small map per row, applied to its token list.
+    The rows are used twice, so they are written first: what leads to the tokens
+    is worked out once.
     """
     if lexicon is None:
         return df
+    df = materialize(df, "tokens")
     forms = materialize(lemma_forms(lexicon).where("token <> lemma"), "lemma-forms")
     distinct = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
     changes = (lookup_join(distinct, forms, ["token"], "inner").groupBy(key)

@@ -28,7 +28,7 @@ def filter_language(df: DataFrame, lang: str = "en") -> DataFrame:
 
 def filter_valid_hashtags(df: DataFrame, column: str = "hashtags") -> DataFrame:
     """Rows whose hashtag list can be read, with the list replaced by its texts."""
-    return df.withColumn(column, hashtags.hashtag_texts(F.col(column))).where(F.col(column).isNotNull())
+    return df.withColumn(column, F.explode(hashtags.readable(F.col(column))))
 
 
 def filter_located(df: DataFrame) -> DataFrame:

@@ -98,8 +98,8 @@ def sample_exact(df: DataFrame, n: int = 500_000, by: Sequence[str] = ("year_mon
     """Exactly `n` rows per group, or the whole group if it is not larger.
 
     Rows with the smallest shuffle keys are kept. Bucket counts tell in which
-    bucket of the key a group reaches `n`: rows of earlier buckets stay, later
-    ones go before any shuffle, and only that one bucket has to be ranked.
+    bucket of the key a group reaches `n`: rows of earlier buckets stay as they
+    are, later ones go, and only the rows of that one bucket are shuffled and ranked.
     """
     keyed = df.withColumn("_key", shuffle_key(ids, seed)).withColumn("_bucket", _hash_bucket("_key"))
     keyed, group = _grouped(keyed, by)
@@ -109,8 +109,9 @@ def sample_exact(df: DataFrame, n: int = 500_000, by: Sequence[str] = ("year_mon
         .groupBy(*group)
         .agg(F.max("_bucket").alias("_cut"), F.max("_before").alias("_whole")),
         "sample-cuts")
-    kept = lookup_join(keyed, cuts, group, "inner").where(F.col("_bucket") <= F.col("_cut"))
+    joined = lookup_join(keyed, cuts, group, "inner")
     in_bucket = Window.partitionBy(*by, "_bucket").orderBy("_key", *ids)
-    kept = kept.withColumn("_place", F.row_number().over(in_bucket)).where(
-        (F.col("_bucket") < F.col("_cut")) | (F.col("_place") <= F.lit(n) - F.col("_whole")))
-    return kept.select(*df.columns)
+    ranked = (joined.where(F.col("_bucket") == F.col("_cut")).withColumn("_place", F.row_number().over(in_bucket))
+              .where(F.col("_place") <= F.lit(n) - F.col("_whole")))
+    whole = joined.where(F.col("_bucket") < F.col("_cut"))
+    return whole.select(*df.columns).unionByName(ranked.select(*df.columns))

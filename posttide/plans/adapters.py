@@ -117,9 +117,8 @@ TABLES = {
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores; a scan of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a table that may lie in a single file to all tasks."""
+    return df.repartition(key)
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

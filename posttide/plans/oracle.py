@@ -351,7 +351,9 @@ def build() -> dict[str, str]:
         "gazetteer_merge_strict": f"""{merge} {merged} p.country_name = s.country_name
             AND p.state_name = s.state_name""",
         "gazetteer_projection": f"{gaz} SELECT * EXCLUDE (row_id) FROM gaz",
-        "gazetteer_csv": f"{gaz} SELECT * EXCLUDE (row_id) FROM gaz",
+        "gazetteer_csv": f"{gaz} SELECT * EXCLUDE (row_id), row_number() OVER (ORDER BY row_id) AS row_id FROM gaz",
+        "training_csv": f"{training} SELECT textID, md5(text) AS text_md5, sentiment FROM training",
+        "labelled_csv": f"{labelled} SELECT id, country, date, year_month, sentiment, sentiment_score FROM labelled",
         "place_entries": f"{gaz} SELECT key, row_id, pos, city, state, country, lat, lon FROM entries",
         "place_index": f"""{_ctes(gaz=GAZETTEER, entries=ENTRIES, keyed=KEYED)}
             SELECT key, NULL AS element, n_empty, row_id, pos, city, state, country, lat, lon
@@ -383,8 +385,8 @@ def build() -> dict[str, str]:
             FROM built LEFT JOIN joined USING (row_key)""",
         "union_labelled": f"""{labelled} SELECT id, country, date, sentiment,
             CASE WHEN year_month >= '1998_01' THEN sentiment_score END AS sentiment_score FROM labelled""",
-        "csv_by_header": f"""{posts} SELECT row_key, location, language, md5(text) AS text_md5, followers
-            FROM posts""",
+        "csv_by_header": f"""{posts} SELECT row_key, location, language, md5(text) AS text_md5,
+            CASE WHEN row_key % 3 < 2 THEN followers END AS followers FROM posts""",
         "row_file_counts": f"""{posts} SELECT count(*) AS n_rows, count(DISTINCT file) AS n_files FROM posts""",
         "write_read_partitioned": f"""{_preprocessing(numbered=NUMBERED.format("file >= 'src15', file, pos", 'built'))}
             SELECT year_month, id, text, country, date FROM numbered""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posttide.operators import lemmas, places, posts
-from posttide.session import materialize
+from posttide.session import job_scratch, materialize
 from posttide.sources import readers, writers
 
 LIGHT, HEAVY = "light", "heavy"
@@ -35,15 +35,17 @@ def preprocess(raw: DataFrame, index: DataFrame, mode: str = LIGHT,
 
 
 def run(spark: SparkSession, posts_path: str, gazetteer_path: str, out: str, mode: str = LIGHT,
-        lexicon: DataFrame | None = None, **options) -> None:
+        lexicon: DataFrame | None = None, fmt: str = "parquet", **options) -> None:
     """CSV folder to `out`/all and `out`/located, one folder per month each.
 
-    Raw text is landed as Parquet once. The preprocessed rows are written once
-    before the two sinks, so that cleaning and place lookup run once.
+    The reader lands raw text once. The preprocessed rows are written once
+    before the two sinks, so that cleaning and place lookup run once. All
+    intermediate tables go when the job ends.
     """
-    raw = readers.land_posts(readers.read_posts(spark, posts_path))
-    gaz = readers.read_gazetteer(spark, gazetteer_path)
-    index = materialize(places.build_place_index(gaz), "place-index")
-    rows = materialize(preprocess(raw, index, mode, lexicon, **options), "preprocessed")
-    writers.write_posts(rows, f"{out}/all")
-    writers.write_located(rows, f"{out}/located")
+    with job_scratch(spark):
+        raw = readers.read_posts(spark, posts_path)
+        gaz = readers.read_gazetteer(spark, gazetteer_path)
+        index = materialize(places.build_place_index(gaz), "place-index")
+        rows = materialize(preprocess(raw, index, mode, lexicon, **options), "preprocessed")
+        writers.write_posts(rows, f"{out}/all", fmt)
+        writers.write_located(rows, f"{out}/located", fmt)

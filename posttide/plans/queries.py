@@ -259,11 +259,12 @@ def union_labelled(spark, sf):
 
 @query
 def csv_by_header(spark, sf):
-    """Two exports with different column orders, stacked by name."""
+    """Exports with three column orders, one of them without a column, stacked by name."""
     path = scratch_path(spark, "csv")
     raw = raw_posts(spark, sf).select("row_key", *schemas.RAW_POST_COLUMNS)
-    raw.where("row_key % 2 = 0").write.options(**writers.CSV_OPTIONS).csv(f"{path}/a")
-    raw.where("row_key % 2 = 1").select(*reversed(raw.columns)).write.options(**writers.CSV_OPTIONS).csv(f"{path}/b")
+    orders = [raw.columns, raw.columns[::-1], sorted(raw.drop("followers").columns)]
+    for k, order in enumerate(orders):
+        raw.where(F.col("row_key") % 3 == k).select(*order).write.options(**writers.CSV_OPTIONS).csv(f"{path}/{k}")
     back = readers.read_csv_by_header(spark, path, ["row_key", *schemas.RAW_POST_COLUMNS], recursive=True)
     return back.select(F.col("row_key").cast("bigint").alias("row_key"), "location", "language",
                        F.md5(F.col("text").cast("binary")).alias("text_md5"), "followers")
@@ -276,9 +277,27 @@ def row_file_counts(spark, sf):
 
 @query
 def gazetteer_csv(spark, sf):
+    """Several part files, written in the order of the row ids, which the reader finds again."""
     path = scratch_path(spark, "gazetteer")
     writers.write_gazetteer(gazetteer(spark, sf), path)
-    return readers.read_gazetteer(spark, path).select(*schemas.GAZETTEER_COLUMNS)
+    return readers.read_gazetteer(spark, path)
+
+
+@query
+def training_csv(spark, sf):
+    path = scratch_path(spark, "training")
+    training(spark, sf).write.options(**writers.CSV_OPTIONS).csv(path)
+    return readers.read_training(spark, path).select(
+        "textID", F.md5(F.col("text").cast("binary")).alias("text_md5"), "sentiment")
+
+
+@query
+def labelled_csv(spark, sf):
+    """Labelled posts as CSV folders and back, months from the folders."""
+    path = scratch_path(spark, "labelled")
+    writers.write_labelled(labelled_posts(spark, sf), path, "csv")
+    return readers.read_labelled(spark, path, "csv").select(
+        "id", "country", "date", "year_month", "sentiment", "sentiment_score")
 
 
 @query

@@ -28,8 +28,10 @@ def label_posts(df: DataFrame, model: Model | Callable, n: int = SAMPLE_ROWS, se
     return classify.score_sentiment(sample, model, batch_size)
 
 
-def run_labelling(spark: SparkSession, located: str, out: str, model: Model | Callable, **options) -> None:
-    writers.write_labelled(label_posts(readers.read_preprocessed(spark, located), model, **options), out)
+def run_labelling(spark: SparkSession, located: str, out: str, model: Model | Callable, fmt: str = "parquet",
+                  **options) -> None:
+    """Labels of located posts, one folder per month; located posts and labels are of format `fmt`."""
+    writers.write_labelled(label_posts(readers.read_preprocessed(spark, located, fmt), model, **options), out, fmt)
 
 
 def sentiment_reports(labelled: DataFrame, **period) -> dict[str, DataFrame]:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+#: Scratch paths of the jobs now running, innermost last.
+_held: list[list[str]] = []
+
 
 def build_session(app: str = "posttide", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew splitting switched on."""
@@ -45,7 +50,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/posttide/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/posttide/{label}-{uuid.uuid4().hex}"
+    if _held:
+        _held[-1].append(path)
+    return path
+
+
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what is written to the shared folder within, when the job is through or has failed.
+
+    Tables that read from there end with it, so a job writes its results inside.
+    """
+    paths: list[str] = []
+    _held.append(paths)
+    try:
+        yield
+    finally:
+        _held.remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            found = hadoop(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

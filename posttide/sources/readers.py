@@ -2,100 +2,82 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator, Mapping, Sequence
-from urllib.parse import quote
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posttide import schemas
 from posttide.functions import dates
 from posttide.operators.joins import lookup_join
-from posttide.operators.posts import union_all
+from posttide.operators.ranking import BLOCK_ROWS, bucketed_row_number
 from posttide.session import materialize
 
-# Headers differ because exports changed over time, not per file.
-MAX_HEADERS = 1000
+# Columns read at first; files with more are read again with as many as the widest header has.
+COLUMNS = 64
 
 
-def _first_record(path: str) -> list[str]:
-    """Header fields of one file; only its first lines are read."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
-    head = b""
-    with system.open_input_stream(inner) as stream:
-        while chunk := stream.read(1 << 16):
-            head += chunk
-            if _complete(head):
-                break
-    return next(csv.reader(io.StringIO(head.decode("utf-8-sig", errors="replace"), newline="")), [])
-
-
-def _complete(head: bytes) -> bool:
-    """Whether the first record ends in `head`: some line break lies outside quotes."""
-    quotes = 0
-    for line in head.split(b"\n")[:-1]:
-        quotes += line.count(b'"')
-        if quotes % 2 == 0:
-            return True
-    return False
-
-
-def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(header=[_first_record(p) for p in batch["path"]])
+def _scan(spark: SparkSession, path: str | Sequence[str], width: int, multiline: bool, recursive: bool,
+          glob: str) -> DataFrame:
+    """Every record of every file by place: `cells`, `file`, `pos`, and `record`, its text if it has not `width` cells."""
+    cells = [f"c{i}" for i in range(width)]
+    found = (spark.read.schema(", ".join(f"{c} string" for c in [*cells, "record"]))
+             .option("header", False).option("multiLine", multiline).option("escape", '"')
+             .option("columnNameOfCorruptRecord", "record").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", str(recursive).lower()).csv(path))
+    return found.select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("file"),
+                        F.monotonically_increasing_id().alias("pos"),
+                        F.coalesce(F.length("record") - F.length(F.replace("record", F.lit(","))) + 1,
+                                   F.lit(width)).alias("most"))
 
 
 def read_csv_by_header(spark: SparkSession, path: str | Sequence[str],
                        columns: Mapping[str, str] | Sequence[str], multiline: bool = True,
-                       recursive: bool = False, glob: str = "*.csv") -> DataFrame:
+                       recursive: bool = False, glob: str = "*.csv", only_present: bool = False) -> DataFrame:
     """All CSV files under `path`, columns picked by header name.
 
     Spark matches CSV columns by position, so files with another column order
-    would shift values silently. Headers are read in tasks first; files are
-    then scanned once per distinct header and stacked by name. A column a file
-    lacks is NULL. Values are text, or cast with `try_cast` to the given types.
+    would shift values silently. All records are landed once, by position; the
+    header of a file is its first record, and rows find their columns by the
+    places that the header of their file gives. Any number of headers costs one
+    scan and a join with a table of one row per file. A column that a file lacks
+    is NULL, and with `only_present` one that all files lack is left out; of a
+    repeated name the first counts; empty files have no rows.
+    Values are text, or cast with `try_cast` to the given types.
 
     Adds `file` (its path) and `pos` (place in scan order, growing within a file;
     splits of one file are of equal size but the last, and keep their order), and keeps
-    line breaks inside quotes when `multiline` is set; such files do not split,
-    so large ones should be landed as Parquet (`land_posts`).
+    line breaks inside quotes when `multiline` is set; such files do not split.
     """
     types = columns if isinstance(columns, Mapping) else dict.fromkeys(columns, "string")
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", str(recursive).lower()).load(path).select("path"))
-    headers = materialize(files.mapInPandas(_sniff, "path string, header array<string>"), "headers")
-    distinct = [r["header"] for r in headers.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(distinct) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
-    if not distinct:
-        raise FileNotFoundError(f"no files match {glob} under {path}")
-    scans = []
-    for header in distinct:
-        reader = (spark.read.option("header", True).option("multiLine", multiline)
-                  .option("escape", '"').option("pathGlobFilter", glob)
-                  .option("recursiveFileLookup", str(recursive).lower())
-                  .schema(", ".join(f"`{_safe(i, h)}` string" for i, h in enumerate(header))))
-        if len(distinct) == 1:
-            paths = path
-        else:
-            same = headers.where(F.col("header") == F.array(*[F.lit(h) for h in header]))
-            paths = [r["path"] for r in same.select("path").collect()]  # the scan's own file list
-        scan = reader.csv(paths)
-        first = {name: i for i, name in reversed(list(enumerate(header)))}
-        picked = [(F.col(f"`{_safe(first[c], c)}`").try_cast(t) if c in first
-                   else F.lit(None).cast(t)).alias(c) for c, t in types.items()]
-        scans.append(scan.select(*picked, F.col("_metadata.file_path").alias("file"),
-                                 F.monotonically_increasing_id().alias("pos")))
-    return union_all(scans)
-
-
-def _safe(i: int, name: str) -> str:
-    return f"c{i}_{name}".replace("`", "_")
+    width = COLUMNS
+    while True:
+        landed = materialize(_scan(spark, path, width, multiline, recursive, glob), "landed-csv")
+        first = landed.groupBy("file").agg(F.min("pos").alias("first"), F.min_by("cells", "pos").alias("header"),
+                                           F.min_by("most", "pos").alias("most"))
+        heads = materialize(first, "csv-headers")
+        widest = heads.agg(F.max("most")).first()[0]
+        if widest is None:
+            raise FileNotFoundError(f"no rows in files that match {glob} under {path}")
+        if widest <= width:
+            break
+        width = widest
+    header = F.transform("header", lambda h, i: F.when(i == 0, F.ltrim(h, F.lit("\ufeff"))).otherwise(h))
+    places = F.array(*[F.array_position("header", F.lit(c)).cast("int") for c in types])
+    heads = materialize(heads.withColumn("header", header).select("file", "first", places.alias("places")), "csv-places")
+    if only_present:
+        seen = heads.agg(*[F.max(F.col("places")[i]).alias(c) for i, c in enumerate(types)]).first()
+        shown = [c for c in types if seen[c]]
+    else:
+        shown = list(types)
+    rows = lookup_join(landed.drop("most"), heads, ["file"], "inner").where(F.col("pos") > F.col("first"))
+
+    def value(i: int, kind: str) -> Column:
+        place = F.col("places")[i]
+        return F.when(place > 0, F.get("cells", place - 1)).try_cast(kind)
+
+    return rows.select(*[value(i, kind).alias(c) for i, (c, kind) in enumerate(types.items()) if c in shown],
+                       "file", "pos")
 
 
 def read_posts(spark: SparkSession, path: str, multiline: bool = True, recursive: bool = False,
@@ -127,30 +109,46 @@ def assign_file_month(df: DataFrame, created: Column | None = None, file: str =
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """Typed gazetteer with `row_id` in file order."""
+    """Typed gazetteer with `row_id` from 1, by file name and then place in the file."""
     gaz = read_csv_by_header(spark, path, schemas.GAZETTEER_TYPES, glob="*")
-    return gaz.select(*schemas.GAZETTEER_COLUMNS, F.col("pos").alias("row_id"))
+    blocked = gaz.withColumn("_block", F.floor(F.col("pos") / F.lit(BLOCK_ROWS)))
+    numbered = bucketed_row_number(blocked, [], ["file", "_block"], [F.col("pos")], "row_id")
+    return numbered.select(*schemas.GAZETTEER_COLUMNS, "row_id")
 
 
-def read_preprocessed(spark: SparkSession, path: str) -> DataFrame:
-    """Preprocessed posts written by `write_posts`; filters on `year_month` prune folders."""
+def _stored_csv(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
+    """CSV folders as our writers leave them: lists as JSON, `year_month` in the path of a file."""
+    lists = {c: t for c, t in types.items() if t.startswith("array")}
+    found = read_csv_by_header(spark, path, {c: "string" if c in lists else t for c, t in types.items()}, recursive=True)
+    named = F.regexp_extract("file", r"year_month=(\d{4}_\d{2})/", 1)
+    month = F.when(named != "", named).otherwise(F.nullif(month_from_file_name(F.col("file")), F.lit("")))
+    parsed = {c: F.from_json(c, t) for c, t in lists.items()}
+    return found.withColumns({**parsed, "year_month": month}).drop("file", "pos")
+
+
+def read_preprocessed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Preprocessed posts written by `write_posts`; on Parquet, filters on `year_month` prune folders."""
+    if fmt == "csv":
+        return _stored_csv(spark, path, {c: t for c, t in schemas.LABELLED_TYPES.items()
+                                         if c in schemas.PREPROCESSED_COLUMNS})
     return spark.read.parquet(path)
 
 
-def read_month(spark: SparkSession, path: str, month: str) -> DataFrame:
+def read_month(spark: SparkSession, path: str, month: str, fmt: str = "parquet") -> DataFrame:
     """One month of preprocessed posts: only its folder is read."""
+    if fmt == "csv":
+        return read_preprocessed(spark, f"{path}/year_month={month}", fmt)
     return read_preprocessed(spark, path).where(F.col("year_month") == month)
 
 
 def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """All labelled posts of a folder, stacked by column name; missing columns are NULL.
 
-    The types are given, so no file has to be opened to find them.
+    The types are given, so no Parquet file has to be opened to find them. The
+    month of a CSV file is that of its folder, else of its name.
     """
     if fmt == "csv":
-        types = {c: t for c, t in schemas.LABELLED_TYPES.items() if c != "hashtags"}
-        labelled = read_csv_by_header(spark, path, {**types, "hashtags": "string"})
-        return labelled.withColumn("hashtags", F.from_json("hashtags", "array<string>"))
+        return _stored_csv(spark, path, schemas.LABELLED_TYPES)
     columns = ", ".join(f"{c} {t}" for c, t in {**schemas.LABELLED_TYPES, "year_month": "string"}.items())
     return spark.read.schema(columns).parquet(path)
 

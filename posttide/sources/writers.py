@@ -15,6 +15,7 @@ from posttide.operators.ranking import assign_ids
 from posttide.session import materialize
 
 ROWS_PER_FILE = 5_000_000
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 # CSV as Python's csv module writes it, blanks kept.
 CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""',
@@ -22,18 +23,25 @@ CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""
 
 
 def last_ids(df: DataFrame, path: str, fmt: str = "parquet", by: str = "year_month") -> DataFrame | None:
-    """Highest id per month already stored under `path`; None when nothing is there."""
+    """Highest id already stored under `path` for each month that `df` has; None when nothing is stored.
+
+    Only the folders of those months are read. Whatever else keeps the stored
+    table from being read is an error: ids would start anew.
+    """
     reader = df.sparkSession.read
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=True, escape='"')
     try:
         stored = reader.format(fmt).load(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_STORED:
+            return None
+        raise
     if "id" not in stored.columns:
-        return None
-    last = F.max(F.col("id").cast("bigint")).alias("last_id")
-    return materialize(stored.groupBy(F.col(by).cast("string").alias(by)).agg(last), "last-ids")
+        raise ValueError(f"the table under {path} has no ids to go on from")
+    months = [r[0] for r in df.select(by).distinct().collect()]  # as many as the batch has folders
+    month, last = F.col(by).cast("string"), F.max(F.col("id").cast("bigint")).alias("last_id")
+    return materialize(stored.where(month.isin(months)).groupBy(month.alias(by)).agg(last), "last-ids")
 
 
 def serialise_lists(df: DataFrame) -> DataFrame:
@@ -69,8 +77,8 @@ def write_located(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_labelled(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append labelled posts, one folder per month."""
-    _append(df, path, ["year_month"], fmt)
+    """Append labelled posts, one folder per month; rebalanced, so that a month has few files, and a large one many."""
+    _append(df.hint("rebalance", "year_month"), path, ["year_month"], fmt)
 
 
 def write_by_country(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -85,5 +93,9 @@ def write_by_country(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_gazetteer(df: DataFrame, path: str) -> None:
-    """The gazetteer columns as CSV with header."""
-    df.select(*schemas.GAZETTEER_COLUMNS).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    """The gazetteer columns as CSV with header, in a stable order: by `row_id` if there is one, else by all columns.
+
+    Files and rows are in that order, so the reader numbers the rows the same way.
+    """
+    order = ["row_id"] if "row_id" in df.columns else schemas.GAZETTEER_COLUMNS
+    df.orderBy(*order).select(*schemas.GAZETTEER_COLUMNS).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

@@ -71,3 +71,16 @@ def test_accuracy_test_without_spread(spark):
     assert math.isinf(hypothesis.accuracy_test(same).first()["t"])
     single = spark.createDataFrame([(0.9,)], "accuracy double")
     assert hypothesis.accuracy_test(single).first()["reject"] is False
+
+
+@pytest.mark.parametrize("dof", [1e9, 1e10, 1e11, 1e12, 1e13])
+def test_tail_of_large_groups_is_the_normal_tail(dof):
+    for t in (0.1, 1.0, 1.96, 3.0):
+        normal = math.erfc(t / math.sqrt(2))
+        assert abs(tdist.two_sided_p(t, dof) - normal) < 1e-9
+
+
+@pytest.mark.parametrize("dof", [1e4, 1e6, 9e7])
+def test_tail_meets_its_expansion(dof):
+    for t in (0.1, 1.0, 1.96, 3.0):
+        assert tdist.two_sided_p(t, dof) == pytest.approx(tdist._near_normal(t, dof), rel=1e-7 if dof > 1e5 else 1e-5)

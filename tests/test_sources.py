@@ -155,3 +155,81 @@ def test_preprocessing_stays_in_the_jvm(spark, posts_dir, gaz_path):
         plan = plan_of(preprocess.preprocess(raw, index, mode))
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
         assert "BroadcastHashJoin" in plan and "EqualTo(language,en)" in plan
+
+
+def test_many_headers_wide_files_and_empty_files(spark, tmp_path):
+    for i in range(1100):
+        write_csv(tmp_path / f"f{i}.csv", [f"x{i}", "a", "b"] if i % 2 else ["b", f"x{i}", "a"], [[i, i, i]])
+    (tmp_path / "empty.csv").write_text("")
+    write_csv(tmp_path / "bare.csv", ["a", "b"], [])
+    write_csv(tmp_path / "wide.csv", [f"w{i}" for i in range(200)] + ["a", "b", "a"], [[*range(200), 5000, 6, 7]])
+    with open(tmp_path / "bom.csv", "w", encoding="utf-8-sig") as f:
+        f.write("a,b\n9000,1\n")
+    df = readers.read_csv_by_header(spark, str(tmp_path), {"a": "int", "b": "int", "w199": "int"})
+    rows = {r["a"]: r for r in df.collect()}
+    assert set(rows) == {*range(1100), 5000, 9000} and df.count() == 1102
+    assert rows[5000]["w199"] == 199 and rows[5000]["b"] == 6 and rows[7]["b"] in (7,) and rows[7]["w199"] is None
+    assert readers.read_csv_by_header(spark, str(tmp_path), ["a", "nowhere"], only_present=True).columns == ["a", "file", "pos"]
+
+
+def test_no_rows_at_all_are_an_error(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(FileNotFoundError):
+        readers.read_csv_by_header(spark, str(tmp_path), ["a"])
+
+
+def test_gazetteer_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    folder = tmp_path / "gaz"
+    folder.mkdir()
+    def line(n):
+        return [f"City{n}", 1.0, 2.0, "S", "State", 1.0, 2.0, "C", "Country", 1.0, 2.0]
+    write_csv(folder / "part-0.csv", schemas.GAZETTEER_COLUMNS, [line(1)])
+    write_csv(folder / "part-1.csv", schemas.GAZETTEER_COLUMNS, [line(n) for n in range(2, 400)])
+    found = readers.read_gazetteer(spark, str(folder)).collect()
+    assert all(r["city_name"] == f"City{r['row_id']}" for r in found) and len(found) == 399
+
+
+def numbered(spark, months):
+    rows = [(m, "f", i, f"t{i}") for i, m in enumerate(months)]
+    return spark.createDataFrame(rows, "year_month string, file string, pos bigint, text string")
+
+
+def test_appends_need_ids_and_read_their_own_months(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    assert writers.last_ids(numbered(spark, ["2022_03"]), path) is None
+    numbered(spark, ["2022_03"]).write.partitionBy("year_month").parquet(path)
+    with pytest.raises(ValueError, match="no ids"):
+        writers.write_posts(numbered(spark, ["2022_03"]), path)
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        writers.write_posts(numbered(spark, ["2022_03"]), str(broken))
+    good = str(tmp_path / "good")
+    writers.write_posts(numbered(spark, ["2022_03", "2022_04", "2022_04"]), good)
+    last = {r["year_month"]: r["last_id"] for r in writers.last_ids(numbered(spark, ["2022_04"]), good).collect()}
+    assert last == {"2022_04": 2}
+    stored = spark.read.parquet(good).where(F.col("year_month").cast("string").isin(["2022_04"]))
+    assert "= 2022_04)], PushedFilters: []" in plan_of(stored)
+
+
+def test_labelled_months_have_few_files(spark, tmp_path):
+    df = spark.range(4000).select("id", F.concat(F.lit("2022_0"), F.col("id") % 8 + 1).alias("year_month")).repartition(16)
+    writers.write_labelled(df, str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").rglob("*.parquet"))) <= 16
+
+
+def scratch_tables(spark):
+    import os
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/posttide"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_intermediate_tables_end_with_the_job(spark, posts_dir, gaz_path, tmp_path):
+    before = scratch_tables(spark)
+    lexicon = spark.createDataFrame([("lines", "n", "line", 2)], "surface string, pos string, lemma string, freq bigint")
+    preprocess.run(spark, posts_dir, gaz_path, str(tmp_path / "out"), preprocess.HEAVY, lexicon)
+    assert scratch_tables(spark) == before
+    with pytest.raises(Exception):
+        preprocess.run(spark, posts_dir, str(tmp_path / "nowhere"), str(tmp_path / "other"))
+    assert scratch_tables(spark) == before

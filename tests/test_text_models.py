@@ -95,6 +95,29 @@ def test_python_model_failures_stay_empty(spark):
     assert rows[0] == ("POSITIVE", 0.504) and rows[3][0] == "POSITIVE" and rows[4] == ("POSITIVE", 0.504)
 
 
+def test_a_broken_model_stops_the_job(spark):
+    def make():
+        def model(batch):
+            raise RuntimeError("broken")
+        return model
+
+    df = texts(spark, *[f"text {i}" for i in range(200)]).coalesce(1)
+    with pytest.raises(Exception, match="failed on all 200 texts"):
+        classify.score_sentiment(df, make).collect()
+
+
+def test_failures_are_counted(spark):
+    rows = [("a", "POSITIVE"), ("b", None), (None, None)]
+    assert classify.failed_texts(spark.createDataFrame(rows, "text string, sentiment string")).first()[0] == 1
+
+
+def test_heavy_text_is_cleaned_once(spark, sf_dir):
+    from conftest import plan_of
+    from posttide.plans import queries
+    cleaned = lemmas.clean_heavy(queries.english(spark, sf_dir).select("row_key", "text"), queries.lexicon(spark, sf_dir))
+    assert plan_of(cleaned).count("regexp_replace") <= 7
+
+
 def training(spark):
     good, bad = "good great fine", "awful bad poor"
     return spark.createDataFrame(
