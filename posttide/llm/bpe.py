@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from posttide.llm import blocks
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+LEVEL = 3
+SLICE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,15 +44,34 @@ def untwo(data: bytes) -> tuple[bytes, bytes]:
     return data[8:8 + n], data[8 + n:]
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def pack_numbers(values: np.ndarray) -> bytes:
     """32-bit numbers as compressed planes of their bytes."""
-    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return squeeze(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words as compressed lengths and compressed bytes."""
+    return two(pack_numbers(np.fromiter(map(len, words), np.int32, len(words))), squeeze(b"".join(words)))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    lengths, text = untwo(data)
+    ends = np.cumsum(unpack_numbers(lengths))
+    text = unsqueeze(text)
+    return [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -60,6 +81,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def dealt(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words in order of their part, and where each part begins and ends."""
+    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def pretoken_codes(texts: Iterator[bytes], pattern: regex.Pattern) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct pre-tokens of a block; each text as their numbers in order; the number of them per text."""
     number = defaultdict(count().__next__)
@@ -93,52 +121,51 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         split = regex.compile(shared.value[1])
         words, codes, lengths = pretoken_codes(blocks.text_bytes(table.column("text")), split)
         kept = table.drop_columns(["text"]).append_column("n", pa.array(lengths))
-        return two(two(blocks.pack(kept), pack_numbers(codes)),
-                   blocks.pack(pa.table({"word": pa.array(words, pa.binary())})))
+        return two(two(blocks.pack(kept), pack_numbers(codes)), pack_words(words))
 
     def asks(payload: bytes) -> Iterator[tuple[int, bytes]]:
-        words = blocks.unpack(untwo(payload)[1]).column("word").to_pylist()
-        by_part = defaultdict(lambda: ([], []))
-        for code, word in enumerate(words):
-            own = by_part[zlib.crc32(word) % parts]
-            own[0].append(code)
-            own[1].append(word)
-        for p, (codes, own) in by_part.items():
-            yield p, blocks.pack(pa.table({"code": pa.array(codes, pa.int32()), "word": pa.array(own, pa.binary())}))
+        words = unpack_words(untwo(payload)[1])
+        order, cuts = dealt(words, parts)
+        for p in range(parts):
+            own = order[cuts[p]:cuts[p + 1]].tolist()
+            if own:
+                yield p, pack_words([words[i] for i in own])
 
     def encoded(_: int, rows: list[bytes]) -> list[bytes]:
         encoder = encoding(*shared.value)
         ids: dict[bytes, list[int]] = {}
         out = []
         for row in rows:
-            table = blocks.unpack(row)
-            own = []
-            for word in table.column("word").to_pylist():
+            lengths, flat = [], []
+            for word in unpack_words(row):
                 if word not in ids:
                     ids[word] = encoder.encode_ordinary(word.decode("utf-8"))
-                own.append(ids[word])
-            out.append(blocks.pack(pa.table({"code": table.column("code"), "ids": pa.array(own, pa.list_(pa.int32()))})))
+                lengths.append(len(ids[word]))
+                flat += ids[word]
+            out.append(two(pack_numbers(np.array(lengths, np.int32)), pack_numbers(np.array(flat, np.int32))))
         return out
 
     def put_together(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
-        kept, codes = (f(x) for f, x in zip((blocks.unpack, unpack_numbers), untwo(untwo(payload)[0])))
-        result = kept.drop_columns(["n"])
-        lengths = kept.column("n").to_numpy()
-        tables = [blocks.unpack(r) for r in replies.values()]
-        if tables:
-            table = pa.concat_tables(tables).combine_chunks()
-            code = table.column("code").to_numpy()
-            lists = table.column("ids").chunk(0)
-            flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-            starts, sizes = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-            starts[code], sizes[code] = offsets[:-1], np.diff(offsets)
-            at = sizes[codes]
-            ids = flat[ragged(starts[codes], at)]
-            ends = np.concatenate(([0], np.cumsum(at)))[np.concatenate(([0], np.cumsum(lengths)))]
-        else:
-            ids, ends = np.zeros(0, np.int32), np.zeros(len(lengths) + 1, np.int64)
+        body, words = untwo(payload)
+        kept, codes = (f(x) for f, x in zip((blocks.unpack, unpack_numbers), untwo(body)))
+        order, cuts = dealt(unpack_words(words), parts)
+        starts, sizes, flat, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), [], 0
+        for p, reply in replies.items():
+            lengths, ids = map(unpack_numbers, untwo(reply))
+            own = order[cuts[p]:cuts[p + 1]]
+            sizes[own] = lengths
+            starts[own] = at + np.cumsum(lengths) - lengths
+            flat.append(ids)
+            at += len(ids)
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        spread = np.concatenate(([0], np.cumsum(sizes[codes])))
+        ids = np.empty(spread[-1], np.int32)
+        for i in range(0, len(codes), SLICE):
+            own = codes[i:i + SLICE]
+            ids[spread[i]:spread[i + len(own)]] = flat[ragged(starts[own], sizes[own])]
+        ends = spread[np.concatenate(([0], np.cumsum(kept.column("n").to_numpy())))]
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-        return result.append_column("ids", lists)
+        return kept.drop_columns(["n"]).append_column("ids", lists)
 
     schema = T.StructType([f for f in source.schema if f.name != "text"] +
                           [T.StructField("ids", T.ArrayType(T.IntegerType()))])
