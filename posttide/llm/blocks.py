@@ -76,6 +76,12 @@ def split_rows(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.Rec
         yield batch.slice(start)
 
 
+def split_array(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of a text column with about `size` bytes each; one text at least."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return (part.column("text") for part in split_rows(batch, "text", size))
+
+
 def make_blocks(df: DataFrame, column: str, size: int = BLOCK_BYTES,
                 prepare: Callable[[pa.Table], bytes] = pack, deal: bool = True) -> DataFrame:
     """Rows of `df` packed into blocks and, with `deal`, shuffled by block."""

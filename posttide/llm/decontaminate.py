@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,21 +223,27 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "item_id", "start", "end", "edits")
 
 
+def contains(texts_of_slice: Broadcast) -> Callable[[Column], Column]:
+    """Whether a text contains a benchmark text of a slice (ids, texts, rate)."""
+
+    @F.arrow_udf(T.BooleanType())
+    def contaminated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index.build(*texts_of_slice.value)
+        for batch in batches:
+            found = []
+            for part in blocks.split_array(batch, blocks.PIECE_BYTES):
+                hit = {r[0] for r in matches(index, [normalised(t) if t else b"" for t in part.to_pylist()])}
+                found += [i in hit for i in range(len(part))]
+            yield pa.array(found, pa.bool_())
+
+    return contaminated
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                         rate: float = EDIT_RATE) -> DataFrame:
     """The rows of `docs` in which `find_passages` finds no benchmark text."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    column = names[docs.columns.index(text)]
-    left = docs.toDF(*names)
+    left = docs
     for ids, texts in slices(benchmark, text, item_id):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts, rate))
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index.build(*shared.value)
-            for batch in batches:
-                for part in blocks.split_rows(batch, column, blocks.BLOCK_BYTES):
-                    hit = {r[0] for r in matches(index, _texts(part, column))}
-                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
-
-        left = left.mapInArrow(clean, left.schema)
-    return left.toDF(*docs.columns)
+        left = left.where(~contains(shared)(F.col(f"`{text}`")))
+    return left

@@ -230,26 +230,25 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     clash = set(keep) & {"lang_pred", "score"}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}")
-    names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages = shared.value["languages"]
         labeller = Labeller(shared.value) if languages else None
         for batch in batches:
-            for part in blocks.split_rows(batch, "text", blocks.BLOCK_BYTES):
-                texts = part.column("text").to_pylist()
+            names, scores = [], []
+            for part in blocks.split_array(batch, blocks.PIECE_BYTES):
+                texts = part.to_pylist()
                 usable = [labeller is not None and has_letter(t) for t in texts]
-                pooled = labeller.pooled([t.encode() if u else b"" for t, u in zip(texts, usable)]) if labeller else None
-                best = pooled.argmax(axis=1) if labeller else None
-                found = [(languages[best[i]], float(pooled[i, best[i]])) if u else (UNKNOWN, 0.0)
-                         for i, u in enumerate(usable)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), pa.array([f[0] for f in found], pa.string()),
-                     pa.array([min(f[1], 1.0) for f in found], pa.float64())], [*names, "lang_pred", "score"])
-
-    schema = T.StructType([*(f for f in source.schema if f.name != "text"), T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(labelled, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)],
-                                                      "lang_pred", "score")
+                if labeller:
+                    pooled = labeller.pooled([t.encode() if u else b"" for t, u in zip(texts, usable)])
+                    best = pooled.argmax(axis=1)
+                for i, u in enumerate(usable):
+                    names.append(languages[best[i]] if u else UNKNOWN)
+                    scores.append(min(float(pooled[i, best[i]]), 1.0) if u else 0.0)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                             ["lang_pred", "score"])
+
+    found = docs.select(*[F.col(f"`{c}`") for c in keep], labelled(F.col(f"`{text}`")).alias("_found"))
+    return found.select(*[F.col(f"`{c}`") for c in keep], "_found.lang_pred", "_found.score")

@@ -77,18 +77,12 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     keep = docs.columns if keep is None else list(keep)
     if "fp" in keep:
         raise ValueError("rename the column 'fp'")
-    names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").alias("text"))
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [fingerprint(t) for t in blocks.text_bytes(batch.column("text"))]
-            columns = [batch.column(n) for n in names] + [pa.array(values, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "fp"])
+    @F.arrow_udf(T.LongType())
+    def marked(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t) for t in blocks.text_bytes(texts)], pa.int64())
 
-    schema = T.StructType([f for f in source.schema if f.name != "text"] + [T.StructField("fp", T.LongType())])
-    found = source.mapInArrow(marked, schema)
-    return found.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "fp")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], marked(F.col(f"`{text}`")).alias("fp"))
 
 
 def byte(position: int):
