@@ -22,11 +22,6 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_topic_shares_sum_to_one(spark, sf_dir):
-    rows = QUERIES["topic_shares"](spark, sf_dir).collect()
-    assert len(rows) == 10 and abs(sum(r["share"] for r in rows) - 1) < 1e-9
-
-
 def test_topic_terms_are_ranked(spark, sf_dir):
     rows = QUERIES["topic_terms"](spark, sf_dir).orderBy("topic", "rank").collect()
     assert len(rows) == 10 * 50
@@ -35,18 +30,6 @@ def test_topic_terms_are_ranked(spark, sf_dir):
             assert a["weight"] >= b["weight"] and b["rank"] == a["rank"] + 1
 
 
-def test_term_relevance_covers_topics(spark, sf_dir):
-    df = QUERIES["term_relevance"](spark, sf_dir)
-    assert df.where("relevance is null or isnan(relevance)").count() == 0
-    assert df.select("topic").distinct().count() == 10
-
-
-def test_dominant_topic_of_every_post(spark, sf_dir):
-    topics = QUERIES["dominant_topic"](spark, sf_dir)
-    assert topics.count() == QUERIES["language_filter"](spark, sf_dir).count()
-    assert topics.where("topic not between 0 and 9").count() == 0
-
-
 def test_classifier_scores(spark, sf_dir):
     df = QUERIES["score_sentiment"](spark, sf_dir)
     assert df.where("sentiment_score not between 0.5 and 1").count() == 0
