@@ -130,3 +130,48 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM ranked WHERE k <
 @query
 def op10_benchmark_decontamination(spark, sf):
     return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+
+
+def license_sql() -> str:
+    """All runs of lines between two lines that share a word with a template, within the size bounds."""
+    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item))
+                       for item in licenses.TEMPLATES.items())
+    least = licenses.LEAST
+    fold = r"regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+           r"'[^a-z0-9\x{{80}}-\x{{10FFFF}}\n]', ' ', 'g')"
+    return rf"""
+WITH templates(license, body) AS (VALUES {quoted}),
+     wanted AS (SELECT license, regexp_extract_all({fold.format('body')}, '[^ \n]+') AS w FROM templates),
+     vocabulary AS (SELECT DISTINCT license, unnest(w) AS word FROM wanted),
+     grams AS (SELECT license, a, b, count(*) AS n FROM (
+                 SELECT license, w[i] AS a, w[i + 1] AS b FROM wanted, unnest(range(1, len(w))) AS t(i)) GROUP BY ALL),
+     sizes AS (SELECT license, len(w) - 1 AS size FROM wanted WHERE len(w) > 1),
+     docs AS (SELECT row_number() OVER () AS r, doc_id, string_split({fold.format('text')}, chr(10)) AS lines
+              FROM documents WHERE text IS NOT NULL),
+     lines AS (SELECT r, i - 1 AS line, regexp_extract_all(lines[i], '[^ ]+') AS w
+               FROM docs, unnest(range(1, len(lines) + 1)) AS t(i)),
+     placed AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY r ORDER BY line
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines),
+     words AS (SELECT r, line, before + k AS p, w[k] AS word FROM placed, unnest(range(1, len(w) + 1)) AS t(k)),
+     pairs AS (SELECT r, p, word AS a, lead(word) OVER (PARTITION BY r ORDER BY p) AS b FROM words),
+     hits AS (SELECT r, license, p, a, b, n FROM pairs JOIN grams USING (a, b)),
+     touched AS (SELECT DISTINCT r, license, line FROM words JOIN vocabulary USING (word)
+                 WHERE (r, license) IN (SELECT DISTINCT r, license FROM hits)),
+     ends AS (SELECT r, license, line, before, before + len(w) AS after FROM touched JOIN placed USING (r, line)),
+     runs AS (SELECT f.r, f.license, f.line AS first_line, l.line AS last_line, f.before AS low, l.after AS high, size
+              FROM ends f JOIN ends l ON f.r = l.r AND f.license = l.license AND f.line <= l.line
+              JOIN sizes s ON s.license = f.license
+              WHERE l.after - f.before - 1 BETWEEN size * {least}e0 / (2 - {least}e0) AND size * (2 - {least}e0) / {least}e0),
+     shared AS (SELECT q.r, q.license, first_line, last_line, low, high, size, least(count(*), any_value(n)) AS s
+                FROM runs q JOIN hits h ON h.r = q.r AND h.license = q.license AND h.p > low AND h.p < high
+                GROUP BY q.r, q.license, first_line, last_line, low, high, size, a, b),
+     scored AS (SELECT r, license, first_line, last_line, 2 * sum(s) / (any_value(high - low) - 1 + any_value(size)) AS dice
+                FROM shared GROUP BY r, license, first_line, last_line)
+SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, CAST(first_line AS BIGINT) AS first_line,
+       CAST(last_line AS BIGINT) AS last_line
+FROM scored JOIN docs USING (r) WHERE dice >= {least}e0
+QUALIFY row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, first_line, last_line) = 1
+"""
+
+
+ORACLE["op6_license_scan"] = license_sql()

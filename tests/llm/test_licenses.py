@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import pytest
+from compare import compare
 from pyspark.sql import functions as F
 
-from posttide.llm import licenses
+from posttide.llm import licenses, queries
 
 TEMPLATES = {"mit": "Released under the MIT License.", "long": "one two three four five six seven eight nine ten",
              "word": "license", "twice": "a b a b a b"}
@@ -60,3 +61,7 @@ def test_empty_table_and_clashing_names(documents):
     assert licenses.scan_licenses(docs.where("doc_id > 9")).count() == 0
     with pytest.raises(ValueError):
         licenses.scan_licenses(docs.withColumn("dice", F.lit(1)))
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert compare(spark, sf_dir, queries.op6_license_scan, queries.ORACLE["op6_license_scan"]) is None
