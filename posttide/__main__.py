@@ -45,7 +45,8 @@ def label(spark, a) -> None:
         model = getattr(importlib.import_module(module), name)
     else:
         model = PipelineModel.load(a.model)
-    reports.run_labelling(spark, a.posts, a.out, model, a.format, n=a.rows)
+    failed = reports.run_labelling(spark, a.posts, a.out, model, a.format, n=a.rows)
+    print(f"texts without a label because the model failed: {failed}")
 
 
 def sentiment_report(spark, a) -> None:

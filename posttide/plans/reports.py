@@ -29,9 +29,15 @@ def label_posts(df: DataFrame, model: Model | Callable, n: int = SAMPLE_ROWS, se
 
 
 def run_labelling(spark: SparkSession, located: str, out: str, model: Model | Callable, fmt: str = "parquet",
-                  **options) -> None:
-    """Labels of located posts, one folder per month; located posts and labels are of format `fmt`."""
-    writers.write_labelled(label_posts(readers.read_preprocessed(spark, located, fmt), model, **options), out, fmt)
+                  **options) -> int:
+    """Labels of located posts, one folder per month; located posts and labels are of format `fmt`.
+
+    Returns how many texts the model failed on; their labels are empty. The labelled
+    posts are written once before, so that the model runs once for rows and count.
+    """
+    labelled = materialize(label_posts(readers.read_preprocessed(spark, located, fmt), model, **options), "labelled")
+    writers.write_labelled(labelled, out, fmt)
+    return classify.failed_texts(labelled).first()["n_failed"]
 
 
 def sentiment_reports(labelled: DataFrame, **period) -> dict[str, DataFrame]:
