@@ -11,8 +11,8 @@ MAX_ROUNDS = 60
 
 
 def _signature(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftrightunsigned(F.xxhash64("b", "a"), 20))).first()
-    return tuple(row)
+    mixed = F.shiftrightunsigned(F.xxhash64("b", "a"), 20)
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(mixed)).first())
 
 
 def components(links: DataFrame) -> DataFrame:

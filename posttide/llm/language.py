@@ -22,7 +22,7 @@ SAMPLE_BYTES = 16 << 10
 WORDS = 40_000
 HIDDEN = 16
 UNIT = 32
-MEMORY = 400_000
+MEMORY = 200_000
 UNKNOWN = "und"
 
 

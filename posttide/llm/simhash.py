@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from posttide.llm import blocks
 from posttide.llm.components import components
+from posttide.operators.joins import lookup_join
 from posttide.session import materialize
 
 SHINGLE = 3
@@ -224,13 +225,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def keep_one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays (null ids
-    last; of several such rows one)."""
+    last; of several such rows the one with the smallest hash of all its columns, of equal rows one).
+
+    Rows are known by that 128-bit hash, so texts are neither written nor, while the rows that stay are few enough
+    to be broadcast, shuffled. Only rows that repeat in all columns are brought together, to keep one of them.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
-    marked = materialize(with_fingerprint(source, at[text]).withColumn("row", F.monotonically_increasing_id())
-                         .withColumn("id", F.col(at[doc_id])), "simhash")
-    grouped = group_near_duplicates(marked.select("row", "id", "fp"), "id")
-    order = F.struct(F.col("id").isNull(), "id", "row")
-    stays = grouped.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row").alias("row"))
-    return marked.join(stays, "row", "left_semi").select(*[F.col(n).alias(c) for c, n in at.items()])
+    told = [F.coalesce(F.col(n).cast("string"), F.lit("\0null")) for n in names]
+    keyed = source.withColumn("key", F.struct(F.xxhash64(*told), F.xxhash64(F.lit("second"), *told)))
+    marked = materialize(with_fingerprint(keyed, at[text], ["key", at[doc_id]]).withColumnRenamed(at[doc_id], "id"),
+                         "simhash")
+    grouped = group_near_duplicates(marked, "id").groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull(), "id", "key", "n")
+    first = grouped.groupBy("root").agg(F.min(order).alias("o")).select("o.key", "o.n")
+    stays = materialize(first.select(F.col("key.col1").alias("k1"), F.col("key.col2").alias("k2"), "n"), "one-per-group")
+    rows = keyed.select(*names, F.col("key.col1").alias("k1"), F.col("key.col2").alias("k2"))
+    single = lookup_join(rows, stays.where("n = 1").drop("n"), ["k1", "k2"], "left_semi", salts=1)
+    several = lookup_join(rows, stays.where("n > 1").drop("n"), ["k1", "k2"], "left_semi", salts=1)
+    kept = single.unionByName(several.dropDuplicates(["k1", "k2"]))
+    return kept.select(*[F.col(n).alias(c) for c, n in at.items()])

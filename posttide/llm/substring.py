@@ -23,7 +23,7 @@ class WordHashes(dict):
     """XXH64 of a word, kept for words seen before; emptied when large, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -112,8 +112,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
     clash = set(keep) & {"n_words", "n_removed", "removed", "kept"}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}")
-    names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").alias("text"))
+    names = ["text" if c == text else f"c{i}" for i, c in enumerate(keep)]
+    others = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names) if n != "text"]
+    source = docs.select(*others, F.col(f"`{text}`").alias("text"))
     parts = blocks.parts_for(docs)
 
     def hashed(payload: bytes):
@@ -171,13 +172,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
             rows["kept"].append(kept_words(value, hit).decode("utf-8", "replace"))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         types = {"n_words": pa.int64(), "n_removed": pa.int64(), "removed": span, "kept": pa.string()}
-        result = table.drop_columns(["text"])
+        result = table if "text" in names else table.drop_columns(["text"])
         for name, values in rows.items():
             result = result.append_column(name, pa.array(values, types[name]))
         return result
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema if f.name != "text"] + [
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema if f.name in names] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("removed", span), T.StructField("kept", T.StringType())])
     packed = blocks.make_blocks(source, "text")

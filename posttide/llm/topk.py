@@ -74,9 +74,11 @@ def best_in_group(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarr
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
+          embedding: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by `every`, the k rows with the highest inner product of the components
-    floor(256 * x): query_id, rank (from 1), vec_id, score; all other rows, if fewer. Ties go to the smaller id, null ids last.
+    floor(256 * x): query_id, rank (from 1), vec_id, score; all other rows, if fewer. Ties go to the smaller id,
+    null ids last.
 
     Vectors that are null or hold null or non-finite components take no part, and only vectors of one length are
     compared. A row never finds itself, but finds equal rows. Scores are 64-bit whole numbers. Queries and
