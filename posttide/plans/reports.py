@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from posttide.operators import classify, hypothesis, posts, ranking, sentiment, terms, topics
 from posttide.session import materialize

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from posttide.operators import classify, lemmas, posts, sentiment, terms, topics
+from posttide.operators import classify, lemmas, posts, sentiment, terms
 from posttide.plans import reports
 
 
