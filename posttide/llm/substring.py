@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from posttide.llm import blocks
 
 WINDOW = 35
+#: Bytes of text in a block, and parts for each partition of a shuffle: what a task holds at once follows from both.
+BLOCK_BYTES = 4 << 20
+PARTS = 2
 #: Two odd bases of the rolling hash, and odd factors that mix its bits.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -115,7 +118,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
     names = ["text" if c == text else f"c{i}" for i, c in enumerate(keep)]
     others = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names) if n != "text"]
     source = docs.select(*others, F.col(f"`{text}`").alias("text"))
-    parts = blocks.parts_for(docs)
+    parts = PARTS * blocks.parts_for(docs)
 
     def hashed(payload: bytes):
         table = blocks.unpack(payload)
@@ -181,7 +184,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema if f.name in names] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("removed", span), T.StructField("kept", T.StringType())])
-    packed = blocks.make_blocks(source, "text")
+    packed = blocks.make_blocks(source, "text", BLOCK_BYTES)
     answers = blocks.answer(blocks.ask(packed, asks), repeated)
     result = blocks.assemble(packed, answers, removed, schema)
     return result.select(*[F.col(n).alias(c) for n, c in zip(names, keep)],
