@@ -15,7 +15,7 @@ from posttide.llm import blocks
 
 WINDOW = 35
 #: Bytes of text in a block, and parts for each partition of a shuffle: what a task holds at once follows from both.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PARTS = 2
 #: Two odd bases of the rolling hash, and odd factors that mix its bits.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
