@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -200,12 +200,15 @@ def near_links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return links_in_lists(short.select("fp", "key").unionByName(split))
 
 
-def group_near_duplicates(marked: DataFrame, doc_id: str = "doc_id", long_list: int = LONG_LIST) -> DataFrame:
+def group_near_duplicates(marked: DataFrame, doc_id: str = "doc_id", long_list: int = LONG_LIST,
+                          links: DataFrame | None = None) -> DataFrame:
     """Rows of `marked`, a written table with the columns `doc_id` and `fp`, with root, a name of the component, and
     component_id: the smallest id among all rows whose fingerprints are connected by steps of at most 3 differing
-    bits. Rows with equal fingerprints belong together; a component without any id has a null component_id."""
+    bits, or by `links` (a, b). Rows with equal fingerprints belong together; a component without any id has a null
+    component_id."""
     fps = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "fingerprints")
-    tied = components(near_links(fps.select("fp"), long_list)).withColumnRenamed("node", "fp")
+    links = near_links(fps.select("fp"), long_list) if links is None else links
+    tied = components(links).withColumnRenamed("node", "fp")
     rooted = fps.join(tied, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(rooted.select("fp", "root").join(smallest, "root"), "fp")
@@ -223,21 +226,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return found.select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                       mark: Callable[[DataFrame, str, list[str]], DataFrame] = with_fingerprint,
+                       links: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays (null ids
     last; of several such rows the one with the smallest hash of all its columns, of equal rows one).
 
     Rows are known by that 128-bit hash, so texts are neither written nor, while the rows that stay are few enough
     to be broadcast, shuffled. Only rows that repeat in all columns are brought together, to keep one of them.
+    Another rule comes as `mark`, which adds `fp` and more, and `links`, made from the marked and the given rows.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
     told = [F.coalesce(F.col(n).cast("string"), F.lit("\0null")) for n in names]
     keyed = source.withColumn("key", F.struct(F.xxhash64(*told), F.xxhash64(F.lit("second"), *told)))
-    marked = materialize(with_fingerprint(keyed, at[text], ["key", at[doc_id]]).withColumnRenamed(at[doc_id], "id"),
-                         "simhash")
-    grouped = group_near_duplicates(marked, "id").groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    marked = materialize(mark(keyed, at[text], ["key", at[doc_id]]).withColumnRenamed(at[doc_id], "id"), "simhash")
+    tied = links(marked, keyed, at[text]) if links else None
+    grouped = group_near_duplicates(marked.select("key", "id", "fp"), "id", links=tied)
+    grouped = grouped.groupBy("root", "id", "key").agg(F.count("*").alias("n"))
     order = F.struct(F.col("id").isNull(), "id", "key", "n")
     first = grouped.groupBy("root").agg(F.min(order).alias("o")).select("o.key", "o.n")
     stays = materialize(first.select(F.col("key.col1").alias("k1"), F.col("key.col2").alias("k2"), "n"), "one-per-group")

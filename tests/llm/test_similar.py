@@ -1,0 +1,74 @@
+import random
+
+import pytest
+
+from posttide.llm import similar, simhash
+
+
+def plain_sets(texts):
+    found = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        found.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    return found
+
+
+def plain_first(texts, least=0.8):
+    """Smallest position of each connected group, by comparing all pairs."""
+    sets, root = plain_sets(texts), list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (len(a & b) / len(a | b) if a | b else 1.0) >= least:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {find(i) for i in range(len(texts))}
+
+
+def edited_copies(seed=3):
+    """Texts with copies that lose or change some words, from nearly equal to below the similarity; all share a line."""
+    rng = random.Random(seed)
+    common = " ".join(f"common{i}" for i in range(20))
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 9, 60, 250, 700]))]
+        texts.append(" ".join(base) + " " + common)
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(copy) // 30)):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append("\n".join(copy[rng.randrange(1 + len(copy) // 20):]).upper() + " " + common)
+    return texts + [None, "", "  ", "one", "ONE", "one two", "a b c d e", "a b c d e f"]
+
+
+@pytest.mark.parametrize("often,centers", [(16, 8), (1, 3)])
+def test_equals_brute_force_on_edited_copies(documents, monkeypatch, often, centers):
+    monkeypatch.setattr(similar, "OFTEN", often)
+    monkeypatch.setattr(similar, "SHARE", 1)
+    monkeypatch.setattr(similar, "CENTERS", centers)
+    texts = edited_copies()
+    expected = plain_first(texts)
+    docs = documents(list(enumerate(texts)))
+    assert {r.doc_id for r in similar.keep_one_per_group(docs).collect()} == expected
+    assert len({r.doc_id for r in simhash.keep_one_per_group(docs).collect()}) > len(expected)
+
+
+def test_stage_finds_the_edited_copies_of_the_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = docs.orderBy("doc_id").collect()
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(rows[i].doc_id for i in plain_first([r.text for r in rows]))
+
+
+def test_null_ids_repeated_rows_and_empty_table(documents):
+    docs = documents([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "no id"), (9, "else it is")])
+    got = similar.keep_one_per_group(docs).select("doc_id", "text").collect()
+    assert sorted(got, key=str) == sorted([(4, "a b c d"), (None, "no id"), (9, "else it is")], key=str)
+    assert similar.keep_one_per_group(docs.where("doc_id < 0")).count() == 0
