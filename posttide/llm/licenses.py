@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,44 @@ class Scanner:
             if best:
                 yield best
 
+    def spans(self, text: bytes) -> Iterator[tuple[str, float, int, int, int, int]]:
+        """(template, coefficient, first word, last word, first line, last line) of the best run of words for each
+        template, wherever lines end. The best run begins and ends with shared bigrams: others at its ends only
+        lower the coefficient. Ties go to the earlier, then shorter run."""
+        possible = self.candidates(text)
+        if not possible:
+            return
+        lines = lines_of(text)
+        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+        get = self.number.get
+        codes = np.fromiter((get(w, 0) for words in lines for w in words), np.int64, int(ends[-1]))
+        found = self.known[codes[:-1] * self.width + codes[1:]]
+        for t in possible:
+            often, total = self.often[:, t], self.grams[t].total()
+            low, high = self.bounds[t]
+            at = np.flatnonzero((found >= 0) & (often[found] > 0))
+            after = np.searchsorted(at, at + (high + 1e-9), side="left")
+            enough = np.flatnonzero(after - np.arange(len(at)) + 1e-9 >= self.needed[t])
+            places, grams, allowed, best = at.tolist(), found[at].tolist(), often.tolist(), None
+            for k in enough.tolist():
+                left, shared, first = {}, 0, places[k]
+                for m in range(k, after[k]):
+                    g = grams[m]
+                    rest = left.get(g, allowed[g])
+                    if rest:
+                        left[g] = rest - 1
+                        shared += 1
+                    size = places[m] - first + 1
+                    if size + 1e-9 < low:
+                        continue
+                    dice = 2 * shared / (size + total)
+                    if dice >= self.least and (best is None or dice > best[0]):
+                        best = (dice, first, places[m] + 1)
+                if best and best[0] == 1:
+                    break
+            if best:
+                yield (self.names[t], *best, *np.searchsorted(ends, best[1:], side="right").tolist())
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text",
                   keep: list[str] | None = None, least: float = LEAST) -> DataFrame:
@@ -141,8 +179,22 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     nothing, nor do templates of fewer than two words; repeated rows are found each. Every text is scanned whole
     in its own task; templates are a parameter of bounded size.
     """
+    return _scanned(docs, templates, text, keep, least, ["first_line", "last_line"], Scanner.scan)
+
+
+def scan_license_spans(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text",
+                       keep: list[str] | None = None, least: float = LEAST) -> DataFrame:
+    """Like `scan_licenses`, but a passage is any run of words, also inside a line or across lines: the columns
+    `keep`, license, dice, first_word and last_word (of all words of the text in normal form, from 0), first_line and
+    last_line."""
+    return _scanned(docs, templates, text, keep, least, ["first_word", "last_word", "first_line", "last_line"],
+                    Scanner.spans)
+
+
+def _scanned(docs: DataFrame, templates: dict[str, str] | None, text: str, keep: list[str] | None, least: float,
+             places: list[str], scan: Callable[[Scanner, bytes], Iterator[tuple]]) -> DataFrame:
     keep = list(docs.columns) if keep is None else list(keep)
-    result = ["license", "dice", "first_line", "last_line"]
+    result = ["license", "dice", *places]
     clash = set(keep) & set(result)
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}")
@@ -153,15 +205,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*shared.value)
         for batch in batches:
-            rows = [(i, *found) for i, t in enumerate(blocks.text_bytes(batch.column("text"))) for found in scanner.scan(t)]
+            rows = [(i, *found) for i, t in enumerate(blocks.text_bytes(batch.column("text"))) for found in scan(scanner, t)]
             if rows:
                 own = batch.take(pa.array([r[0] for r in rows]))
                 yield pa.RecordBatch.from_arrays(
                     [*(own.column(n) for n in names), pa.array([r[1] for r in rows]),
-                     pa.array([r[2] for r in rows], pa.float64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4))],
+                     pa.array([r[2] for r in rows], pa.float64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3, 3 + len(places)))],
                     [*names, *result])
 
     schema = T.StructType([*(f for f in source.schema if f.name != "text"), T.StructField("license", T.StringType()),
-                           T.StructField("dice", T.DoubleType()), T.StructField("first_line", T.LongType()),
-                           T.StructField("last_line", T.LongType())])
+                           T.StructField("dice", T.DoubleType()), *(T.StructField(p, T.LongType()) for p in places)])
     return source.mapInArrow(scanned, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *result)

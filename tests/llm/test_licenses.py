@@ -65,3 +65,52 @@ def test_empty_table_and_clashing_names(documents):
 
 def test_query_equals_sql(spark, sf_dir):
     assert compare(spark, sf_dir, queries.op6_license_scan, queries.ORACLE["op6_license_scan"]) is None
+
+
+def plain_span(text, template, least):
+    """Best coefficient over all runs of words."""
+    def words(t):
+        return "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    target, given, best = words(template), words(text or ""), 0.0
+    want = Counter(zip(target, target[1:]))
+    for i in range(len(given)):
+        for j in range(i + 2, min(len(given), i + 5 * len(target)) + 1):
+            have = Counter(zip(given[i:j], given[i + 1:j]))
+            if want:
+                best = max(best, 2 * (have & want).total() / (have.total() + want.total()))
+    return best if best >= least else None
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_spans_equal_brute_force(documents, least):
+    rng = random.Random(2)
+    words = "released under the mit license one two three four five six seven eight nine ten a b x".split()
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(9))] + rng.choice(list(TEMPLATES.values())).split()
+        base += [rng.choice(words) for _ in range(rng.randrange(9))]
+        for _ in range(rng.randrange(3)):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        texts.append("".join(w.upper() + rng.choice([" ", " ", "\n", ", "]) for w in base))
+    texts += [None, "", "license", "the"]
+    found = licenses.scan_license_spans(documents(list(enumerate(texts))), TEMPLATES, least=least).collect()
+    expected = {(i, n): round(plain_span(t, v, least), 9) for i, t in enumerate(texts) for n, v in TEMPLATES.items()
+                if plain_span(t, v, least)}
+    assert {(r.doc_id, r.license): round(r.dice, 9) for r in found} == expected and len(found) == len(expected)
+
+
+def test_notices_inside_longer_lines_are_found(documents):
+    whole = "prose " * 300 + licenses.TEMPLATES["Apache-2.0-header"] + " more" * 300
+    docs = documents([(1, "Copyright 2020 Foo. All rights reserved."), (2, whole), (3, "a\nb all\nrights reserved c")])
+    assert licenses.scan_licenses(docs).where("doc_id < 3").count() == 0
+    rows = {(r.doc_id, r.license): r for r in licenses.scan_license_spans(docs).collect()}
+    short, long, three = rows[1, "all-rights-reserved"], rows[2, "Apache-2.0-header"], rows[3, "all-rights-reserved"]
+    assert (short.dice, short.first_word, short.last_word, short.first_line) == (1.0, 3, 5, 0)
+    assert (long.dice, long.first_word, long.last_line) == (1.0, 300, 0)
+    assert (three.first_word, three.last_word, three.first_line, three.last_line) == (2, 4, 1, 2)
+
+
+def test_span_query_finds_all_that_lines_find(spark, sf_dir):
+    spans = {(r.doc_id, r.license): r.dice for r in queries.op6_license_spans(spark, sf_dir).collect()}
+    lines = {(r.doc_id, r.license): r.dice for r in queries.op6_license_scan(spark, sf_dir).collect()}
+    assert lines and all(spans[k] >= v for k, v in lines.items())
