@@ -477,6 +477,32 @@ def dominant_topic(spark, sf):
     return topics.dominant_topic(shares_by_rule(found)).select("row_key", "topic")
 
 
+# The same tables of the fitted model, all passes over the posts. No SQL: a fit cannot be repeated there.
+
+def fitted_topics(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return reports.topic_report(raw_posts(spark, sf).select("row_key", "text"))[name]
+
+
+@query
+def topic_terms_fitted(spark, sf):
+    return fitted_topics(spark, sf, "topic_terms")
+
+
+@query
+def topic_shares_fitted(spark, sf):
+    return fitted_topics(spark, sf, "topic_shares")
+
+
+@query
+def term_relevance_fitted(spark, sf):
+    return fitted_topics(spark, sf, "term_relevance")
+
+
+@query
+def dominant_topic_fitted(spark, sf):
+    return fitted_topics(spark, sf, "documents").select("row_key", "topic")
+
+
 @query
 def topic_model(spark, sf):
     """What must hold of the fitted model: every post has shares that sum to 1, every topic weighs every term."""

@@ -51,3 +51,25 @@ def test_cross_validation_and_errors_agree(spark, sf_dir):
 def test_accuracy_test_row(spark, sf_dir):
     row = QUERIES["accuracy_test"](spark, sf_dir).first()
     assert row["n"] == 5 and abs(row["critical"] - 2.131847) < 1e-6
+
+
+def test_fitted_topic_terms_are_ranked(spark, sf_dir):
+    rows = QUERIES["topic_terms_fitted"](spark, sf_dir).orderBy("topic", "rank").collect()
+    assert len(rows) == 10 * 50
+    for a, b in zip(rows, rows[1:]):
+        if a["topic"] == b["topic"]:
+            assert a["weight"] >= b["weight"] and b["rank"] == a["rank"] + 1
+
+
+def test_fitted_shares_and_dominant_topics(spark, sf_dir):
+    shares = [r["share"] for r in QUERIES["topic_shares_fitted"](spark, sf_dir).collect()]
+    assert len(shares) == 10 and abs(sum(shares) - 1) < 1e-9
+    topics = QUERIES["dominant_topic_fitted"](spark, sf_dir)
+    assert topics.count() == QUERIES["dominant_topic"](spark, sf_dir).count()
+    assert topics.where("topic is null or topic not between 0 and 9").count() == 0
+
+
+def test_fitted_relevance_covers_every_topic_and_term(spark, sf_dir):
+    rows = QUERIES["term_relevance_fitted"](spark, sf_dir)
+    assert rows.count() == 10 * QUERIES["vocabulary"](spark, sf_dir).count()
+    assert rows.where("relevance is null or isnan(relevance)").count() == 0
