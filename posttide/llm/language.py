@@ -147,10 +147,12 @@ def train(words: list[bytes], labels: np.ndarray, languages: int, epochs: int =
 def smallest_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
     """At most `n` rows (group, h, ...) of each group with the smallest distinct hashes `h`.
 
-    Counts of the groups give a bound below which about four times as many hashes lie, so that the ranking gets a
-    number of rows that does not grow with the input, however large a group is.
+    Counts of the different hashes of each group give a bound below which about four times as many hashes lie (all,
+    in a group that has no more), so that the ranking gets a number of rows that does not grow with the input,
+    however large a group is and however often its rows repeat.
     """
-    counts = materialize(rows.groupBy(group).agg(F.count("*").alias("_n")), "sample-counts")
+    different = rows.groupBy(group, "h").agg(F.lit(1).alias("_one"))
+    counts = materialize(different.groupBy(group).agg(F.count("*").alias("_n")), "sample-counts")
     share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     near = lookup_join(rows, counts, [group], "inner").where(share * F.col("_n") < 4 * n).drop("_n").distinct()
     order = Window.partitionBy(group).orderBy(share, *rows.columns)

@@ -70,3 +70,15 @@ def test_odd_texts_and_nothing_learned(documents):
     assert language.identify(docs.where("doc_id > 900"), model).count() == 0
     with pytest.raises(ValueError):
         language.identify(docs.withColumn("score", F.lit(1)), model)
+
+
+def test_a_language_of_one_text_in_many_copies_is_learned(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") < 10_000, "many").otherwise("one").alias("lang"),
+        F.when(F.col("id") < 10_000, F.concat(F.lit("text "), F.col("id"))).otherwise("der und die").alias("text"))
+    for copies in (rows, rows.withColumn("text", F.when(F.col("lang") == "one", "das ist nicht").otherwise(F.col("text")))):
+        hashed = copies.select("lang", F.xxhash64("text").alias("h"))
+        found = language.smallest_hashes(hashed, "lang", 50)
+        assert {r.lang: r["count"] for r in found.groupBy("lang").count().collect()} == {"many": 50, "one": 1}
+    few = spark.range(20_000).select(F.lit("few").alias("lang"), F.xxhash64(F.col("id") % 40).alias("h"))
+    assert language.smallest_hashes(few, "lang", 30).count() == 30
