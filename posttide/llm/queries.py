@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttide.llm import (bpe, decontaminate, langmodel, language, licenses, quality, simhash, substring, tokencount,
-                          topk)
+from posttide.llm import (bpe, centroids, decontaminate, langmodel, language, lexical, licenses, quality, simhash,
+                          substring, tokencount, tokenfiles, topk)
+from posttide.session import scratch_path
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +139,80 @@ def op10_benchmark_decontamination(spark, sf):
     return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
 
 
+@query
+def op11_ranked_search(spark, sf):
+    return lexical.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = r"""
+WITH fold(a, b, terms) AS (VALUES ('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz',
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+     d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), terms) AS ts
+           FROM documents, fold),
+     q AS (SELECT row_number() OVER () AS i, item_id,
+                  list_distinct(regexp_extract_all(translate(coalesce(text, ''), a, b), terms)) AS ts FROM benchmark, fold),
+     words AS (SELECT r, unnest(ts) AS term FROM d),
+     tfs AS (SELECT r, term, count(*) AS tf FROM words GROUP BY ALL),
+     dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+     totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms
+                FROM d WHERE len(ts) > 0),
+     asked AS (SELECT i, item_id, unnest(ts) AS term FROM q),
+     weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+                 FROM dfs, totals),
+     scored AS (SELECT i, item_id, r, CAST(sum(w * ((1000000000 * tf) //
+                       (1000 * tf + 20 * (50 + (50 * len(ts) * n_docs) // n_terms)))) AS BIGINT) AS score
+                FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN d USING (r), totals
+                GROUP BY i, item_id, r),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS k
+                FROM scored JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM placed WHERE k <= 50
+"""
+
+
+@query
+def op12_centroid_clusters(spark, sf):
+    return centroids.cluster(table(spark, sf, "embeddings"), k=16, rounds=3)
+
+
+def clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every distance to every centroid in every round."""
+    steps = [f"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+              FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+     cells AS (SELECT r, unnest(v) AS x, unnest(range(1, 65)) AS i FROM kept),
+     named AS (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h NULLS LAST, v LIMIT {k}),
+     c0 AS (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS c, v FROM named)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+     far{n} AS (SELECT r, c, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2])
+                           FOR p IN list_zip(kept.v, c{n}.v)]) AS BIGINT) AS d FROM kept, c{n}),
+     near{n} AS (SELECT r, c, d FROM far{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+     sums{n} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS m FROM near{n} JOIN cells USING (r) GROUP BY c, i),
+     moved{n} AS (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS v FROM sums{n} GROUP BY c),
+     c{n + 1} AS (SELECT c, coalesce(moved{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN moved{n} USING (c))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+ORACLE["op12_centroid_clusters"] = clusters_sql()
+
+
+@query
+def op13_token_files(spark, sf):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = file.read()
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(table(spark, sf, "documents"), path, model, end_id=1)
+    found = tokenfiles.read_token_files(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def license_sql() -> str:
     """All runs of lines between two lines that share a word with a template, within the size bounds."""
     quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item))
