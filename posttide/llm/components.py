@@ -11,8 +11,9 @@ MAX_ROUNDS = 60
 
 
 def _signature(links: DataFrame) -> tuple:
-    mixed = F.shiftrightunsigned(F.xxhash64("b", "a"), 20)
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(mixed)).first())
+    """Tells two sets of links apart: their number and two independent hashes, which no number of links overflows."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")),
+                           F.bit_xor(F.xxhash64(F.lit("second"), "b", "a"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -114,3 +114,10 @@ def test_clashing_columns(documents):
     assert simhash.keep_one_per_group(docs).where("row = 7 and root = 7 and doc_id = 1").count() == 1
     with pytest.raises(ValueError):
         simhash.with_fingerprint(docs.withColumn("fp", F.lit(1)))
+
+
+def test_millions_of_links_have_a_signature(spark):
+    links = spark.range(3_000_000).select(F.col("id").alias("b"), (F.col("id") + 1).alias("a"))
+    before = components._signature(links)
+    assert before[0] == 3_000_000 and before == components._signature(links.repartition(3))
+    assert before[1:] != components._signature(links.where("a <> 77").unionByName(links.limit(1)))[1:]
