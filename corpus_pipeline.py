@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posttide.llm import bpe, decontaminate, language, similar, substring
+from posttide.llm import bpe, decontaminate, language, simhash, substring
 from posttide.llm.queries import remainder
 from posttide.session import materialize
 
@@ -40,10 +40,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (sets of five-word runs with a Jaccard similarity of 0.8 or more) the document
-    with the smallest id stays."""
+    """Of every group of near-duplicates (SimHash of three-word runs, 3 or fewer differing bits from one to the next)
+    the document with the smallest id stays."""
     long_rows(spark)
-    return similar.keep_one_per_group(docs.select(*COLUMNS))
+    return simhash.keep_one_per_group(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
