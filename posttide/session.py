@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,13 +37,13 @@ def build_session(app: str = "posttide", master: str | None = None, **conf: str)
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would be invisible to the other executors.
+    Only a session of one process may fall back to a folder of its own: on a
+    cluster, local-cluster included, it would be invisible to other executors.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
     fallback = tempfile.mkdtemp(prefix="posttide-")
     spark.conf.set(CHECKPOINT_KEY, fallback)

@@ -25,7 +25,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

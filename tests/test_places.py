@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import plan_of
+from explained import plan_of
 
 from posttide import schemas
 from posttide.operators import places

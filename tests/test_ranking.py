@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import plan_of
+from explained import plan_of
 from pyspark.sql import functions as F
 
 from posttide.operators import ranking

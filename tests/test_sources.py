@@ -3,7 +3,7 @@
 import csv
 
 import pytest
-from conftest import plan_of
+from explained import plan_of
 from pyspark.sql import functions as F
 
 from posttide import schemas

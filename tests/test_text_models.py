@@ -112,7 +112,7 @@ def test_failures_are_counted(spark):
 
 
 def test_heavy_text_is_cleaned_once(spark, sf_dir):
-    from conftest import plan_of
+    from explained import plan_of
     from posttide.plans import queries
     cleaned = lemmas.clean_heavy(queries.english(spark, sf_dir).select("row_key", "text"), queries.lexicon(spark, sf_dir))
     assert plan_of(cleaned).count("regexp_replace") <= 7
