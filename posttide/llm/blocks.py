@@ -18,6 +18,8 @@ splits: the name of a block is its input split and its place in it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +33,17 @@ ASK_SCHEMA = "part int, block string, ask binary"
 ANSWER_SCHEMA = "block string, part int, answer binary"
 
 
+def release() -> None:
+    """Hands freed memory back to the machine. Worker processes live on for later stages, and what their allocators
+    keep for themselves adds up from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:
     """A table as compressed Arrow bytes."""
     sink = pa.BufferOutputStream()
@@ -104,6 +117,8 @@ def make_blocks(df: DataFrame, column: str, size: int = BLOCK_BYTES,
                     count, held, held_bytes = count + 1, [], 0
         if held:
             yield flush()
+            held = []
+        release()
 
     rows = df.mapInArrow(packed, BLOCK_SCHEMA)
     return rows.repartition("block") if deal else rows
@@ -124,6 +139,7 @@ def ask(blocks: DataFrame, fn: Callable[[bytes], Iterator[tuple[int, bytes]]]) -
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[0] for r in rows], pa.int32()), pa.array([name.as_py()] * len(rows)),
                          pa.array([r[1] for r in rows], pa.binary())], ["part", "block", "ask"])
+        release()
 
     return blocks.mapInArrow(asked, ASK_SCHEMA)
 
@@ -135,6 +151,7 @@ def answer(asks: DataFrame, fn: Callable[[int, list[bytes]], list[bytes | None]]
     def answered(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         replies = fn(part, table.column("ask").to_pylist())
+        release()
         kept = [(b, r) for b, r in zip([*table.column("block").to_pylist(), extra], replies) if r is not None]
         return pa.table({"block": pa.array([k[0] for k in kept], pa.string()),
                          "part": pa.array([part] * len(kept), pa.int32()),
@@ -150,6 +167,7 @@ def assemble(blocks: DataFrame, answers: DataFrame,
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = dict(zip(right.column("part").to_pylist(), right.column("answer").to_pylist()))
         tables = [fn(payload, replies) for payload in left.column("payload").to_pylist()]
+        release()
         return pa.concat_tables(tables) if tables else wanted.empty_table()
 
     from pyspark.sql.pandas.types import to_arrow_schema

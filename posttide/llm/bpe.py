@@ -206,6 +206,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
                 own = flat[a:b]
                 decoded.append(data[ragged(starts[own], lengths[own])].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*names, "bytes"])
+        blocks.release()
 
     schema = T.StructType([*source.schema.fields, T.StructField("bytes", T.BinaryType())])
     return source.mapInArrow(looked_up, schema).select(

@@ -235,6 +235,8 @@ def contains(texts_of_slice: Broadcast) -> Callable[[Column], Column]:
                 hit = {r[0] for r in matches(index, [normalised(t) if t else b"" for t in part.to_pylist()])}
                 found += [i in hit for i in range(len(part))]
             yield pa.array(found, pa.bool_())
+        index = None
+        blocks.release()
 
     return contaminated
 

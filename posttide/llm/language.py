@@ -251,6 +251,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
                     scores.append(min(float(pooled[i, best[i]]), 1.0) if u else 0.0)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              ["lang_pred", "score"])
+        labeller = None
+        blocks.release()
 
     found = docs.select(*[F.col(f"`{c}`") for c in keep], labelled(F.col(f"`{text}`")).alias("_found"))
     return found.select(*[F.col(f"`{c}`") for c in keep], "_found.lang_pred", "_found.score")
