@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posttide.functions import text
+from posttide.session import materialize
 
 # Settings of the topic model's vocabulary.
 MIN_DF, MAX_TERMS = 3, 5000
+#: Sizes of the summaries of frequent n-grams that are tried; the most that one may hold; how many are merged at once.
+TRACKED = (1 << 14, 1 << 17)
+MOST_TRACKED = 1_000_000
+SUMMARIES = 256
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,7 +59,41 @@ def ngram_counts(df: DataFrame, n: int = 2, column: str = "text") -> DataFrame:
     return df.select(F.explode(runs).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
-def top_ngrams(df: DataFrame, n: int = 2, k: int = 10, column: str = "text") -> DataFrame:
+def frequent(df: DataFrame, column: str, tracked: int) -> tuple[DataFrame, float]:
+    """Values that may be frequent, and a bound: any other value occurs at most that often.
+
+    Every task keeps a summary of at most `tracked` values; summaries are merged in two steps, and no other value is
+    shuffled. A summary of `tracked` values out of n misses none that occurs more than 3.5 n / tracked times.
+    """
+    if not 0 < tracked <= MOST_TRACKED:
+        raise ValueError(f"between 1 and {MOST_TRACKED} values can be tracked")
+    partial = df.groupBy((F.spark_partition_id() % SUMMARIES).alias("part")).agg(
+        F.expr(f"approx_top_k_accumulate(`{column}`, {tracked})").alias("summary"), F.count("*").alias("n"))
+    # A group of its own, not a global aggregate: without any value there is no summary to merge.
+    merged = partial.groupBy(F.lit(1).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"), F.sum("n").alias("n"))
+    estimate = F.expr(f"approx_top_k_estimate(summary, {tracked})").alias("top")
+    found = materialize(merged.select("n", estimate), "frequent")
+    total = found.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return found.select(F.explode("top.item").alias(column)), 3.5 * total / tracked
+
+
+def top_ngrams(df: DataFrame, n: int = 2, k: int = 10, column: str = "text",
+               tracked: Sequence[int] = TRACKED) -> DataFrame:
+    """The `k` most frequent n-grams with their exact counts, ties by the n-gram.
+
+    A summary of frequent n-grams names candidates, which are then counted exactly: only they are shuffled. If the
+    last of the top `k` does not occur more often than any other n-gram can, a larger summary is tried; after the
+    last one, all n-grams are counted.
+    """
+    runs = df.select(F.explode(ngram_column(text.words(_joined(df, column)), n)).alias("ngram"))
+    for size in tracked:
+        candidates, bound = frequent(runs, "ngram", size)
+        # At most `size` n-grams, so they are broadcast.
+        counted = runs.join(F.broadcast(candidates), "ngram").groupBy("ngram").agg(F.count("*").alias("n"))
+        best = materialize(counted.orderBy(F.desc("n"), "ngram").limit(k), "top-ngrams")
+        found, least = best.agg(F.count("*"), F.min("n")).first()
+        if bound < 1 or (found == k and least > bound):
+            return best.orderBy(F.desc("n"), "ngram")
     return ngram_counts(df, n, column).orderBy(F.desc("n"), "ngram").limit(k)
 
 

@@ -42,6 +42,8 @@ SELECT doc_id AS row_key, source AS file, doc_id AS pos,
     WHEN 5 THEN '{{"text": "a"}}'
     WHEN 6 THEN '[{{"x": 1}}]'
     WHEN 7 THEN concat('[{{"text": "tag', doc_id % 7, '", "indices": [0, 4]}}, {{"text": "second"}}]')
+    WHEN 8 THEN CASE doc_id % 5 WHEN 0 THEN '{{}}' WHEN 1 THEN '[{{"text": "a"}}] [1]' WHEN 2 THEN '[{{"text": "a"}}, {{}}]'
+                                WHEN 3 THEN '[{{"text": "a"}}]]' ELSE ' [ ] ' END
     ELSE concat('[{{"text": "tag', doc_id % 7, '", "indices": [0, 4]}}]')
   END, '"', chr(39)) AS hashtags,
   CASE WHEN doc_id % 17 = 0 THEN 'x' WHEN doc_id % 17 = 1 THEN NULL

@@ -7,7 +7,7 @@ ids by one window, lemmas by stripping suffixes, t tails by numeric integration.
 from __future__ import annotations
 
 from posttide.functions import text
-from posttide.operators import topics
+from posttide.operators import tagging, topics
 from posttide.operators.lemmas import SUFFIX_RULES
 from posttide.plans import adapters
 from posttide.plans.queries import PERIOD, SAMPLE
@@ -45,7 +45,8 @@ POST_MONTH = "strftime(try_strptime(split_part(tweetcreatedts, '.', 1), '%Y-%m-%
 QUOTED = "replace(hashtags, chr(39), chr(34))"
 TAGS = (f"CASE WHEN json_valid({QUOTED}) AND json_type({QUOTED}) = 'ARRAY' "
         f"AND len(json_extract({QUOTED}, '$[*]')) = len(json_extract_string({QUOTED}, '$[*].text')) "
-        f"THEN array_to_string(json_extract_string({QUOTED}, '$[*].text'), '|') END")
+        f"THEN array_to_string(json_extract_string({QUOTED}, '$[*].text'), '|') "
+        f"WHEN json_valid({QUOTED}) AND json_type({QUOTED}) = 'OBJECT' AND len(json_keys({QUOTED})) = 0 THEN '' END")
 
 
 def _light(c: str) -> str:
@@ -61,11 +62,11 @@ def _heavy(c: str) -> str:
     return f"translate({c}, {_quote(text.PUNCTUATION)}, '')"
 
 
-def _tokens(c: str) -> str:
+def _tokens(c: str, stopwords=text.STOPWORDS) -> str:
     c = _drop(c, text.LOOSE_QUOTES, r" \1 ")
     for joined in text.JOINED_PAIRS:
         c = _drop(c, rf"(?i)\b({joined[:3]})({joined[3:]})\b", r"\1 \2")
-    words = ", ".join(_quote(w) for w in text.STOPWORDS)
+    words = ", ".join(_quote(w) for w in ["", *stopwords])
     return (f"list_filter(string_split_regex({c}, '\\s+'), "
             f"lambda t: t <> '' AND NOT list_contains([{words}], t))")
 
@@ -154,6 +155,74 @@ def _stripped(source: str) -> str:
     ) LEFT JOIN classes listed USING (token)"""
 
 
+def _in_context(rows: str) -> dict[str, str]:
+    """The best sequence of classes of each row's tokens, by a fold over their scores."""
+    known = ", ".join(_quote(c) for c in tagging.CLASSES)
+    k = range(1, len(tagging.CLASSES) + 1)
+
+    def score(n: str, of: str) -> str:
+        return f"CAST(floor(ln(CAST({n} AS DOUBLE) / CAST({of} AS DOUBLE)) * {tagging.SCALE}) AS BIGINT)"
+
+    def first(of: list[str], best: str) -> str:
+        return "CASE " + " ".join(f"WHEN {x} = {best} THEN acc.p[{p}]" for p, x in zip(k, of)) + " END"
+
+    reach = [[f"acc.s[{p}] + after[{p}][{c}]" for p in k] for c in k]
+    best = [f"greatest({', '.join(of)})" for of in reach]
+    ends = [f"acc.s[{p}]" for p in k]
+    return {
+        "tagged": """SELECT row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}') AS ts
+                     FROM conversations""",
+        "tagged_words": f"""SELECT r, i, ts[i] AS w,
+            [{known}][(length(ts[i]) + coalesce(length(ts[i - 1]), 0)) % {len(k)} + 1] AS c
+            FROM tagged, unnest(range(1, len(ts) + 1)) AS t(i)""",
+        "classes": f"SELECT unnest([{known}]) AS c",
+        "steps": "SELECT coalesce(lag(c) OVER (PARTITION BY r ORDER BY i), '') AS b, c FROM tagged_words",
+        "counted_steps": """SELECT b.b, k.c, count(s.c) AS n FROM (SELECT '' AS b UNION ALL SELECT c FROM classes) b
+            CROSS JOIN classes k LEFT JOIN steps s ON s.b = b.b AND s.c = k.c GROUP BY b.b, k.c""",
+        "follow": f"""SELECT b, list(s ORDER BY c) AS s FROM (
+            SELECT b, c, {score('n + 1', f'sum(n) OVER (PARTITION BY b) + {len(k)}')} AS s FROM counted_steps) GROUP BY b""",
+        "word_counts": "SELECT w, c, count(*) AS n FROM tagged_words GROUP BY w, c",
+        "vocabulary_size": "SELECT count(DISTINCT w) AS v FROM word_counts",
+        "class_totals": """SELECT k.c, coalesce(sum(n), 0) + any_value(v) + 1 AS t
+            FROM classes k LEFT JOIN word_counts USING (c), vocabulary_size GROUP BY k.c""",
+        "word_scores": f"""SELECT w, list(s ORDER BY c) AS e FROM (
+            SELECT d.w, t.c, {score('coalesce(n, 0) + 1', 't')} AS s FROM (SELECT DISTINCT w FROM word_counts) d
+            CROSS JOIN class_totals t LEFT JOIN word_counts USING (w, c)) GROUP BY w""",
+        "unknown_word": f"SELECT list({score('1', 't')} ORDER BY c) AS u FROM class_totals",
+        "all_heavy": f"SELECT row_key, {_tokens(_heavy('raw'), ())} AS h FROM ({rows})",
+        "each_token": "SELECT row_key, unnest(h) AS w, unnest(range(len(h))) AS i FROM all_heavy",
+        "scored_tokens": f"""SELECT row_key, list({{'s': [{', '.join(
+            f'x[{c}] + CASE WHEN i = 0 THEN start[{c}] ELSE 0 END' for c in k)}], 'p': [{known}]}} ORDER BY i) AS l
+            FROM (SELECT row_key, i, coalesce(e, u) AS x FROM each_token LEFT JOIN word_scores USING (w), unknown_word),
+                 (SELECT s AS start FROM follow WHERE b = '') GROUP BY row_key""",
+        "folded_tokens": f"""SELECT row_key, list_reduce(l, lambda acc, x: {{'s': [{', '.join(
+            f'{best[c - 1]} + x.s[{c}]' for c in k)}], 'p': [{', '.join(
+            f'{first(reach[c - 1], best[c - 1])} || x.p[{c}]' for c in k)}]}}) AS acc
+            FROM scored_tokens, (SELECT list(s ORDER BY b) AS after FROM follow WHERE b <> '')""",
+        "best_paths": f"SELECT row_key, {first(ends, f'greatest({chr(44).join(ends)})')} AS path FROM folded_tokens",
+    }
+
+
+CLASS_LEXICON = """
+SELECT w AS surface, pos, left(w, length(w) - CASE WHEN pos = 'v' THEN 1 ELSE 2 END) AS lemma, freq
+FROM (SELECT w, count(*) AS freq FROM (
+        SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) AS w FROM documents)
+      WHERE length(w) <= 6 GROUP BY w)
+JOIN (VALUES ('n', 'e'), ('v', 'n'), ('a', 'o'), ('v', 'e')) AS e(pos, ending) ON w LIKE '%' || ending
+"""
+LEMMAS_IN_CONTEXT = {
+    "class_lexicon": CLASS_LEXICON, "rules": RULES,
+    "placed_words": "SELECT row_key, i, w, path[i + 1] AS c FROM each_token JOIN best_paths USING (row_key)",
+    "asked_words": "SELECT DISTINCT w, c FROM placed_words",
+    "listed_lemmas": """SELECT surface AS w, pos AS c, lemma FROM class_lexicon
+        QUALIFY row_number() OVER (PARTITION BY surface, pos ORDER BY freq DESC, lemma) = 1""",
+    "ruled_lemmas": """SELECT a.w, a.c, arg_min(l.lemma, rule) AS lemma FROM asked_words a
+        JOIN rules r ON r.rule_pos = a.c AND a.w LIKE '%' || r.ending
+        JOIN (SELECT DISTINCT lemma, pos FROM class_lexicon) l
+          ON l.pos = a.c AND l.lemma = left(a.w, length(a.w) - length(r.ending)) || r.base GROUP BY a.w, a.c""",
+}
+
+
 def _monthly(measures: str) -> str:
     return f"""
     SELECT country, strftime(date_trunc('month', CAST(date AS DATE)), '%Y-%m-%d') AS month, {measures}
@@ -346,6 +415,15 @@ def build() -> dict[str, str]:
         "clean_heavy": f"""{_ctes(posts=POSTS, english=ENGLISH,
                                   **_lemmatised('SELECT row_key, text AS raw FROM english'))}
             SELECT row_key, coalesce(tokens, '') AS tokens FROM english LEFT JOIN joined USING (row_key)""",
+        "token_classes_in_context": f"""{_ctes(posts=POSTS, english=ENGLISH,
+                                             **_in_context('SELECT row_key, text AS raw FROM english'))}
+            SELECT row_key, coalesce(path, '') AS classes FROM english LEFT JOIN best_paths USING (row_key)""",
+        "clean_heavy_in_context": f"""{_ctes(posts=POSTS, english=ENGLISH,
+              **_in_context('SELECT row_key, text AS raw FROM english'), **LEMMAS_IN_CONTEXT, joined=f'''
+              SELECT row_key, string_agg(coalesce(li.lemma, ru.lemma, w) , ' ' ORDER BY i) AS tokens
+              FROM placed_words LEFT JOIN listed_lemmas li USING (w, c) LEFT JOIN ruled_lemmas ru USING (w, c)
+              WHERE w NOT IN ({", ".join(_quote(w) for w in text.STOPWORDS)}) GROUP BY row_key''')}
+            SELECT row_key, coalesce(tokens, '') AS tokens FROM english LEFT JOIN joined USING (row_key)""",
         "gazetteer_merge": f"""{merge} {merged} p.country_name IS NOT DISTINCT FROM s.country_name
             AND p.state_name IS NOT DISTINCT FROM s.state_name""",
         "gazetteer_merge_strict": f"""{merge} {merged} p.country_name = s.country_name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from posttide import schemas
 from posttide.functions import dates, scores, text
-from posttide.operators import (classify, hypothesis, lemmas, places, posts, ranking, sentiment, terms,
+from posttide.operators import (classify, hypothesis, lemmas, places, posts, ranking, sentiment, tagging, terms,
                                 topics)
 from posttide.plans import adapters, preprocess, reports
 from posttide.session import materialize, scratch_path
@@ -61,6 +61,29 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select(F.col("w").alias("surface"), pos.alias("pos"), lemma.alias("lemma"), "freq")
 
 
+def tagged_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations as a tagged table. A word's class depends on it and on the word before, so most words have
+    several classes."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0))
+    size = F.transform("tokens", lambda t, i: F.length(t) + F.coalesce(F.length(F.get("tokens", i - 1)), F.lit(0)))
+    known = F.array(*[F.lit(c) for c in tagging.CLASSES])
+    conversations = spark.read.parquet(f"{sf}/conversations.parquet")
+    return conversations.select(tokens.alias("tokens")).withColumn(
+        "classes", F.transform(size, lambda n: F.get(known, n % len(tagging.CLASSES))))
+
+
+def class_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexicon read off the documents in which a form has other lemmas as a noun, a verb or an adjective."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    words = documents.select(F.explode(text.words(F.col("text"), r"[a-z]{4,}")).alias("w"))
+    counted = words.groupBy("w").agg(F.count("*").alias("freq")).where(F.length("w") <= 6)
+    endings = F.array(*[F.struct(F.lit(c).alias("pos"), F.lit(e).alias("ending"))
+                        for c, e in (("n", "e"), ("v", "n"), ("a", "o"), ("v", "e"))])
+    each = counted.select("w", "freq", F.explode(endings).alias("e")).where(F.endswith("w", F.col("e.ending")))
+    return each.select(F.col("w").alias("surface"), "e.pos",
+                       F.expr("left(w, length(w) - CASE WHEN e.pos = 'v' THEN 1 ELSE 2 END)").alias("lemma"), "freq")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Place struct and arrays as plain columns, for comparing."""
     if "place" in df.columns:
@@ -163,6 +186,23 @@ def clean_heavy(spark, sf):
     return cleaned.select("row_key", F.array_join("text", " ").alias("tokens"))
 
 
+@query
+def token_classes_in_context(spark, sf):
+    """The best sequence of classes of every English post, one letter a token."""
+    tokens = english(spark, sf).select("row_key", lemmas.heavy_tokens(F.col("text"), []).alias("tokens"))
+    found = tagging.tag_in_context(tokens, tagging.train_tagger(tagged_texts(spark, sf)))
+    return found.select("row_key", F.array_join("classes", "").alias("classes"))
+
+
+@query
+def clean_heavy_in_context(spark, sf):
+    """Heavy cleaning with lemmas by word and class."""
+    cleaned = tagging.clean_heavy_in_context(
+        english(spark, sf).select("row_key", "text"), tagging.train_tagger(tagged_texts(spark, sf)),
+        materialize(class_lexicon(spark, sf), "lexicon"))
+    return cleaned.select("row_key", F.array_join("text", " ").alias("tokens"))
+
+
 # Places
 
 @query

@@ -17,7 +17,14 @@ def test_hashtags(spark):
     given = ["[{'text': 'a', 'indices': [1, 2]}]", "[]", """[{'text': "it's"}]""", None, "",
              "[{'text':'a'}] tail", "5", "null", "{'text':'a'}", "[{'x':1}]", "['a']", "{}",
              " [{'text':'b'}, {'text':'c'}] "]
-    assert one(spark, hashtags.hashtag_texts, given) == [["a"], []] + [None] * 10 + [["b", "c"]]
+    assert one(spark, hashtags.hashtag_texts, given) == [["a"], []] + [None] * 9 + [[], ["b", "c"]]
+
+
+def test_hashtags_are_one_whole_list(spark):
+    given = ["[{'text':'a'}] [1]", "[{'text':'a'}]]", "[] , []", "[] }", "[], 'x': []", "[{'text':'a'}] ] , [ [1]",
+             "[{'text':'a'}, {}]", "[{'text':null}]", "[{'text':'a'},]", "[[{'text':'a'}]]", "[1]",
+             " { } ", "''", " [ ]\n", "[{'text':'a','text':'b'}]", "[{'text':5}]"]
+    assert one(spark, hashtags.hashtag_texts, given) == [None] * 11 + [[], [], [], ["b"], ["5"]]
 
 
 def test_scores(spark):

@@ -185,3 +185,26 @@ def test_report_bundle(spark):
     tables = reports.sentiment_reports(monthly(spark))
     assert {n: t.count() for n, t in tables.items()} == {
         "sentiment_counts": 3, "sentiment_means": 3, "bias_test": 3, "rejected_ratio": 1}
+
+
+def test_top_ngrams_shuffle_only_candidates(spark):
+    words = [f"w{i % 37} w{i % 41} often seen" if i % 2 else "often seen w1" for i in range(400)]
+    df = texts(spark, words)
+    expected = terms.ngram_counts(df).orderBy(F.desc("n"), "ngram").limit(3).collect()
+    assert terms.top_ngrams(df, k=3).collect() == expected
+    # A summary too small to prove the third place: a larger one, then all n-grams.
+    assert terms.top_ngrams(df, k=3, tracked=(8, 1 << 14)).collect() == expected
+    assert terms.top_ngrams(df, k=3, tracked=(8,)).collect() == expected
+    assert terms.top_ngrams(df, k=5000).count() == terms.ngram_counts(df).count()
+    assert terms.top_ngrams(df.where("row_key < 0")).count() == 0
+
+
+def test_frequent_values_and_their_bound(spark):
+    values = spark.range(4000).selectExpr("CASE WHEN id % 4 = 0 THEN 'hot' ELSE concat('v', id) END AS v").repartition(5)
+    found, bound = terms.frequent(values, "v", 64)
+    names = {r["v"] for r in found.collect()}
+    assert "hot" in names and bound == 3.5 * 4000 / 64
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # a written table of summaries, not of values
+    with pytest.raises(ValueError):
+        terms.frequent(values, "v", 0)
