@@ -13,6 +13,8 @@ frames that these documents touch, and verifies the checksum of each (the low ha
 from __future__ import annotations
 
 import array
+import json
+import os
 import re
 import struct
 import uuid
@@ -46,6 +48,11 @@ RANGE_BYTES = 64 << 20
 #: Words whose ids a task remembers, and the longest such word in bytes.
 REMEMBERED = 1 << 19
 LONGEST = 64
+#: Marks that often end a word, and what they must follow to be taken off.
+MARKS = b".,;:!?"
+ALPHANUMERIC = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# Fixed value: a public pattern of pre-tokens.
+LETTERS_DIGITS_OR_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 INDEX_SCHEMA = "doc_id bigint, name string, at bigint, n_tokens bigint"
 
 
@@ -155,38 +162,60 @@ class FileReader:
         return b"".join(parts)
 
 
-class WordIds(dict):
-    """The ids of words as bytes, for tokenizers that give white space no token: a text's ids are those of its words
-    (runs without ASCII white space) in order. Short words are remembered, up to a fixed number."""
+class WordIds:
+    """Encodes texts by their words (runs without ASCII white space), for tokenizers that give white space no token.
+    The ids of short words are remembered as bytes, up to a fixed number of words."""
 
     def __init__(self, model: str):
         import tokenizers
 
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         self.tokenizer = tokenizers.Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.cut = cuts_before_marks(model)
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
+    def encoded(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self._encoded([word])[0]
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Encodes the new words of some texts together."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list({w for t in texts for w in t.split() if w not in self and len(w) <= LONGEST})
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of all the words. Words with marks at their end are put together from those without."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new, known = set(words).difference(self.known), self.known
+        if not new:
+            return known
+        long = [w for w in new if len(w) > LONGEST]
+        new.difference_update(long)
+        stems = {}
+        if self.cut:
+            for word in new:
+                stem = word.rstrip(MARKS)
+                if len(stem) != len(word) and stem[-1:] in ALPHANUMERIC and stem and b"<" not in word:
+                    stems[word] = stem
+            ends = {w[len(s):] for w, s in stems.items()}
+            new = new.difference(stems).union(stems.values(), ends).difference(known)
+        new = list(new)
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
-            self.update(zip(some, self._encoded(some)))
+            known.update(zip(some, self.encoded(some)))
+        known.update([(w, known[s] + known[w[len(s):]]) for w, s in stems.items()])
+        return {**{w: known[w] for w in words if w in known}, **dict(zip(long, self.encoded(long)))} if long else known
 
     def pieces(self, text: bytes) -> Iterator[bytes]:
         for piece in blocks.pieces(text):
-            yield b"".join(map(self.__getitem__, piece.split()))
+            words = piece.split()
+            yield b"".join(map(self.learn(words).__getitem__, words))
+
+
+def cuts_before_marks(model: str) -> bool:
+    """Whether a mark of `MARKS` after a letter or digit always begins a new pre-token, so that a word is encoded as
+    what stands before its last marks, then the marks: so with this pattern of pre-tokens."""
+    found = (json.loads(model).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return found[0].get("pattern") == {"Regex": LETTERS_DIGITS_OR_MARKS} and found[0].get("behavior") == "Removed"
 
 
 def drops_white_space(model: str) -> bool:
@@ -202,21 +231,25 @@ def drops_white_space(model: str) -> bool:
     return all(ids(f"{a}word{a}{b}Other{b}") == word for a in " \t\n\x0b\x0c\r" for b in " \t\n\x0b\x0c\r")
 
 
+#: The words that a worker process remembers from task to task, for one model.
+_remembered: dict[str, WordIds] = {}
+
+
+def words_of(model: str) -> WordIds:
+    if model not in _remembered:
+        _remembered.clear()
+        _remembered[model] = WordIds(model)
+    return _remembered[model]
+
+
 def encoder(model: str) -> Callable[[list[bytes]], Iterator[Iterator[bytes]]]:
     """Encodes a list of texts, each to pieces of id bytes."""
     by_word = drops_white_space(model)
 
-    def encode(texts: list[bytes], state: dict = {}) -> Iterator[Iterator[bytes]]:  # noqa: B006 - kept by the worker
-        if "words" not in state:
-            state["words"] = WordIds(model)
-        words = state["words"]
-        if by_word:
-            words.learn(texts)
-            for text in texts:
-                yield words.pieces(text)
-        else:
-            for text in texts:
-                yield iter(words._encoded([text]))
+    def encode(texts: list[bytes]) -> Iterator[Iterator[bytes]]:
+        words = words_of(model)
+        for text in texts:
+            yield words.pieces(text) if by_word else iter(words.encoded([text]))
 
     return encode
 
@@ -267,7 +300,7 @@ def write_token_files(docs: DataFrame, path: str, model: str, end_id: int, text:
             return f"{part:07d}-{n:05d}-{attempt}.zst"
 
         for batch in batches:
-            for some in blocks.split_rows(batch, "text", blocks.BLOCK_BYTES):
+            for some in blocks.split_rows(batch, "text", blocks.PIECE_BYTES):
                 texts = list(blocks.text_bytes(some.column("text")))
                 for key, pieces in zip(some.column("doc_id").to_pylist(), encode(texts)):
                     if writer is None:
