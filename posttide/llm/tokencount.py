@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,12 @@ JOINED = 1 << 15
 MEMORY = 500_000
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(tokenizer: str) -> Tokenizer:
+    """The tokenizer of a JSON, read once per worker process."""
+    return Tokenizer.from_str(tokenizer)
+
+
 def starts_of(tokenizer: Tokenizer, text: str) -> np.ndarray:
     """Where each token of a text begins, in characters."""
     found = tokenizer.encode(text, add_special_tokens=False).offsets
@@ -75,36 +82,48 @@ def boundaries(text: str, starts: np.ndarray, low: int, high: int) -> dict[int,
 
 def encode_chunk(tokenizer: Tokenizer, text: str, begin: int, chunk: int, overlap: int) -> dict:
     """A chunk's tokens and its boundaries shared with the chunk before (left) and after (right), as places in
-    the document. The text goes along only where an overlap has no boundary."""
+    the document. For a border where the neighbours share none: the text before its own first boundary (head) and
+    from its own last one on (tail), each with the number of tokens before that boundary. That is a word in
+    ordinary text. A chunk without a boundary is head as a whole."""
     starts = starts_of(tokenizer, text)
-    left = boundaries(text, starts, 0, overlap)
-    right = boundaries(text, starts, chunk, chunk + overlap)
-    stuck = (begin > 0 and not left) or (len(text) > chunk and not right)
-    return {"tokens": len(starts), "left": {begin + p: i for p, i in left.items()},
-            "right": {begin + p: i for p, i in right.items()}, "text": text if stuck else None}
-
-
-def splice(tokenizer: Callable[[], Tokenizer], chunks: list[dict], chunk: int) -> int:
-    """Tokens of a document from its chunks in order. Neighbours meet at their first common boundary. Without
-    one the overlap is widened by the whole of the next chunk, and again, until they align."""
-    total, before, i = 0, 0, 0
-    current = chunks[0]
-    while i + 1 < len(chunks):
-        after = chunks[i + 1]
-        common = sorted(current["right"].keys() & after["left"].keys())
+    own = boundaries(text, starts, 0, min(chunk, len(text)))
+    first, last = (min(own), max(own)) if own else (None, None)
+    return {"tokens": len(starts),
+            "left": {begin + p: i for p, i in boundaries(text, starts, 0, overlap).items()},
+            "right": {begin + p: i for p, i in boundaries(text, starts, chunk, chunk + overlap).items()},
+            "head": text[:chunk] if first is None else text[:first], "first": own.get(first),
+            "tail": None if last is None else text[last:chunk], "last": own.get(last)}
+
+
+def splice(tokenizer: Callable[[], Tokenizer], chunks: list[dict]) -> int:
+    """Tokens of a document from its chunks in order. Neighbours meet at their first common boundary.
+
+    Without one the overlap is widened to both sides, up to the nearest boundary of a chunk, over chunks without any
+    if need be. Only what lies between is encoded anew, once, so each character is encoded twice at most.
+    """
+    total, before = 0, 0
+    open_text: list[str] | None = None
+    for c, after in zip(chunks, [*chunks[1:], None]):
+        if open_text is not None:
+            open_text.append(c["head"])
+            if c["first"] is None:
+                continue
+            total += len(starts_of(tokenizer(), "".join(open_text)))
+            before, open_text = c["first"], None
+        if after is None:
+            total += c["tokens"] - before
+            continue
+        common = c["right"].keys() & after["left"].keys()
         if common:
-            total += current["right"][common[0]] - before
-            before, current = after["left"][common[0]], after
+            meeting = min(common)
+            total += c["right"][meeting] - before
+            before = after["left"][meeting]
+        elif c["last"] is None:
+            open_text = [c["head"]]
         else:
-            own = current["text"][:after["begin"] - current["begin"]]
-            text = own + after["text"]
-            wide = after["begin"] - current["begin"] + chunk
-            starts = starts_of(tokenizer(), text)
-            right = boundaries(text, starts, wide, len(text) + 1)
-            current = {"begin": current["begin"], "tokens": len(starts), "text": text, "stuck": True,
-                       "right": {current["begin"] + p: n for p, n in right.items()}}
-        i += 1
-    return total + current["tokens"] - before
+            total += c["last"] - before
+            open_text = [c["tail"]]
+    return total if open_text is None else total + len(starts_of(tokenizer(), "".join(open_text)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None,
@@ -114,13 +133,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     `tokenizer` is the JSON of a tokenizer that drops white space. Texts up to `chunk` characters are counted
     word by word. A longer text is cut into chunks which overlap their successors by `overlap` characters; the
     chunks are dealt to all tasks, encoded with offsets, and spliced at boundaries both neighbours found. Where
-    an overlap has none, it is widened until there is one. Null and empty texts have 0 bytes and 0 tokens;
+    an overlap has none, it is widened until there is one; the task of a document gets its boundaries and the words
+    across such borders, and holds one of them at a time, which the library would encode as a whole. Null and empty texts have 0 bytes and 0 tokens;
     repeated rows stay; a column named like a result column must be renamed before.
     """
     keep = list(docs.columns) if keep is None else list(keep)
     clash = set(keep) & {"n_bytes", "n_tokens", "over_limit"}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}")
+    if not 0 < overlap < chunk:
+        raise ValueError("an overlap must be shorter than its chunk")
     names = [f"c{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -129,7 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     counted = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCounts(Tokenizer.from_str(shared.value))
+        words = WordCounts(loaded(shared.value))
         for batch in batches:
             for part in blocks.split_rows(batch, "text", blocks.BLOCK_BYTES):
                 texts = list(blocks.text_bytes(part.column("text")))
@@ -152,7 +174,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
                 row += 1
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tokenizer.from_str(shared.value)
+        model = loaded(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 begin = batch.column("begin")[i].as_py()
@@ -161,15 +183,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
                 sides = [pa.array([list(found[s].items())], pa.map_(pa.int64(), pa.int64())) for s in ("left", "right")]
                 yield pa.RecordBatch.from_arrays(
                     [*(own.column(n) for n in [*names, "row", "begin", "bytes"]), *sides,
-                     pa.array([found["tokens"]], pa.int64()), pa.array([found["text"]], pa.string())],
-                    [*names, "row", "begin", "bytes", "left", "right", "tokens", "text"])
+                     *(pa.array([found[c]], pa.int64()) for c in ("tokens", "first", "last")),
+                     *(pa.array([found[c]], pa.string()) for c in ("head", "tail"))],
+                    [*names, "row", "begin", "bytes", "left", "right", "tokens", "first", "last", "head", "tail"])
 
     def spliced(table: pa.Table) -> pa.Table:
         table = table.sort_by("begin")
-        chunks = table.select(["begin", "left", "right", "tokens", "text"]).to_pylist()
+        chunks = table.select(["left", "right", "tokens", "first", "last", "head", "tail"]).to_pylist()
         for c in chunks:
             c["left"], c["right"] = dict(c["left"]), dict(c["right"])
-        tokens = splice(lambda: Tokenizer.from_str(shared.value), chunks, chunk)
+        tokens = splice(lambda: loaded(shared.value), chunks)
         size = sum(table.column("bytes").to_pylist())
         return table.slice(0, 1).select(names).append_column("n_bytes", pa.array([size], pa.int64())).append_column(
             "n_tokens", pa.array([tokens], pa.int64()))
@@ -177,7 +200,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     cuts = T.StructType([*kept, *T._parse_datatype_string("row string, begin bigint, bytes bigint, piece string").fields])
     sides = T.StructType([*kept, *T._parse_datatype_string(
         "row string, begin bigint, bytes bigint, left map<bigint,bigint>, right map<bigint,bigint>, "
-        "tokens bigint, text string").fields])
+        "tokens bigint, first bigint, last bigint, head string, tail string").fields])
     huge = F.length("text") > chunk
     short = source.where(~huge).mapInArrow(whole, counted)
     pieces = source.where(huge).mapInArrow(cut, cuts).repartition("row", "begin").mapInArrow(coded, sides)

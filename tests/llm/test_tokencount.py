@@ -42,6 +42,30 @@ def test_huge_document_in_chunks(documents):
     assert [r.n_tokens for r in found] == [expected(text)] * 2
 
 
+def test_words_longer_than_chunks(documents):
+    """Borders without a boundary: inside a word, over several chunks, at both ends of the text."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh1é-") for _ in range(n))
+    texts = [word(20000), word(3000) + " " + word(10), word(10) + "  " + word(3000),
+             "a b " + word(2500) + " c " + word(1200) + " " + word(1100) + " d", " " * 3000 + word(2000) + " " * 1500]
+    found = tokencount.count_tokens(documents(list(enumerate(texts))), MODEL, chunk=1000, overlap=30).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {i: expected(t) for i, t in enumerate(texts)}
+
+
+def test_widening_encodes_each_character_twice_at_most():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh") for _ in range(400_000)) + " end"
+    chunks = [tokencount.encode_chunk(LIBRARY, text[b:b + 5100], b, 5000, 100) for b in range(0, len(text), 5000)]
+    calls = []
+
+    def counted():
+        calls.append(1)
+        return LIBRARY
+
+    assert tokencount.splice(counted, chunks) == expected(text) and len(calls) == 1
+    assert sum(len(c["head"]) + len(c["tail"] or "") for c in chunks) <= len(text)
+
+
 def test_empty_table_null_ids_and_clashing_names(documents):
     docs = documents([(None, "a b"), (2, "c" * 100)]).withColumns(
         {c: F.lit(6) for c in ("row", "begin", "left", "tokens", "c1", "piece")})
