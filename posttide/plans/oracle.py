@@ -516,6 +516,10 @@ def build() -> dict[str, str]:
             WHERE rank <= 50""",
         "topic_shares": f"""{vocabulary} SELECT CAST(topic AS INTEGER) AS topic, round(mass / sum(mass) OVER (), 9) AS share
             FROM (SELECT topic, sum(share * n_terms) AS mass FROM shares GROUP BY topic)""",
+        "topic_distances": f"""{vocabulary} SELECT CAST(a.topic AS INTEGER) AS topic, CAST(b.topic AS INTEGER) AS other,
+            round(sum(a.weight * ln(2 * a.weight / (a.weight + b.weight))
+                      + b.weight * ln(2 * b.weight / (a.weight + b.weight))) / 2, 9) AS distance
+            FROM weights a JOIN weights b ON a.term = b.term AND a.topic < b.topic GROUP BY a.topic, b.topic""",
         "term_relevance": f"""{vocabulary} SELECT CAST(topic AS INTEGER) AS topic, term,
             round(0.6e0 * ln(weight) + 0.4e0 * ln(weight / (term_freq / (SELECT sum(term_freq) FROM vocab))), 6) AS relevance
             FROM weights JOIN vocab USING (term)""",

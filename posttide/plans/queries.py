@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from posttide import schemas
 from posttide.functions import dates, scores, text
 from posttide.operators import (classify, hypothesis, lemmas, places, posts, ranking, sentiment, tagging, terms,
-                                topics)
+                                topic_batches, topics)
 from posttide.plans import adapters, preprocess, reports
 from posttide.session import materialize, scratch_path
 from posttide.sources import readers, writers
@@ -517,10 +517,17 @@ def dominant_topic(spark, sf):
     return topics.dominant_topic(shares_by_rule(found)).select("row_key", "topic")
 
 
+@query
+def topic_distances(spark, sf):
+    _, vocab, _ = bags(spark, sf)
+    found = topics.topic_distances(materialize(weights_by_rule(vocab), "topic-weights"))
+    return found.select("topic", "other", F.round("distance", 9).alias("distance"))
+
+
 # The same tables of the fitted model, all passes over the posts. No SQL: a fit cannot be repeated there.
 
 def fitted_topics(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return reports.topic_report(raw_posts(spark, sf).select("row_key", "text"))[name]
+    return reports.topic_report(raw_posts(spark, sf).select("row_key", "text"), mapped=False)[name]
 
 
 @query
@@ -543,10 +550,29 @@ def dominant_topic_fitted(spark, sf):
     return fitted_topics(spark, sf, "documents").select("row_key", "topic")
 
 
+def topics_in_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Weights and documents of a model fitted 128 posts at a time."""
+    found, _, words = bags(spark, sf)
+    model = topic_batches.fit_topics_in_batches(found.drop("tokens"), "row_key", len(words))
+    return (materialize(model.topic_weights(spark, words), "topic-weights"),
+            materialize(model.document_topics(found.drop("tokens")), "document-topics"))
+
+
+@query
+def topic_terms_in_batches(spark, sf):
+    return topics.top_terms(topics_in_batches(spark, sf)[0], 50)
+
+
+@query
+def topic_map_in_batches(spark, sf):
+    weights, documents = topics_in_batches(spark, sf)
+    return topics.topic_map(topics.topic_distances(weights), topics.topic_shares(documents))
+
+
 @query
 def topic_model(spark, sf):
     """What must hold of the fitted model: every post has shares that sum to 1, every topic weighs every term."""
-    report = reports.topic_report(raw_posts(spark, sf).select("row_key", "text"))
+    report = reports.topic_report(raw_posts(spark, sf).select("row_key", "text"), mapped=False)
     total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
     documents = report["documents"].agg(
         F.count("*").alias("n_posts"), F.count(F.when(F.abs(total - 1) < 1e-6, 1)).alias("n_sum_to_one"))

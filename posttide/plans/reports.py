@@ -51,19 +51,26 @@ def sentiment_reports(labelled: DataFrame, **period) -> dict[str, DataFrame]:
 
 
 def topic_report(df: DataFrame, column: str = "text", k: int = topics.TOPICS, seed: int = topics.SEED,
-                 top: int = 50, passes: int = topics.PASSES, ngram: int = 2, top_runs: int = 10) -> dict[str, DataFrame]:
-    """Vocabulary, topic terms, shares, relevance, documents with their main topic, and the top n-grams."""
+                 top: int = 50, passes: int = topics.PASSES, ngram: int = 2, top_runs: int = 10,
+                 mapped: bool = True) -> dict[str, DataFrame]:
+    """Vocabulary, topic terms, shares, relevance, distances and map, documents with their main topic, top n-grams.
+
+    The map is worked out at once, the other tables when they are read; `mapped=False` leaves it out.
+    """
     tokens = materialize(terms.topic_words(df, column), "topic-words")
     vocab = materialize(terms.vocabulary(tokens), "vocabulary")
     bags = materialize(terms.bag_of_words(tokens, terms.term_list(vocab)).drop("tokens"), "bags")
     model = topics.fit_topics(bags, k, seed, passes=passes)
     documents = topics.dominant_topic(topics.document_topics(model, bags))
     weights = materialize(topics.topic_weights(model, vocab), "topic-weights")
-    return {
+    distances, shares = topics.topic_distances(weights), topics.topic_shares(documents)
+    report = {"topic_map": topics.topic_map(distances, shares)} if mapped else {}
+    return report | {
         "vocabulary": vocab,
         "topic_weights": weights,
         "topic_terms": topics.top_terms(weights, top),
-        "topic_shares": topics.topic_shares(documents),
+        "topic_shares": shares,
+        "topic_distances": distances,
         "term_relevance": topics.term_relevance(weights, vocab),
         "documents": documents.drop("features"),
         "top_ngrams": terms.top_ngrams(df, ngram, top_runs, column),
