@@ -30,7 +30,7 @@ def gazetteer(spark, a) -> None:
 def preprocess_posts(spark, a) -> None:
     lexicon = spark.read.parquet(a.lexicon) if a.lexicon else None
     preprocess.run(spark, a.posts, a.gazetteer, a.out, a.mode, lexicon, a.format,
-                   case_insensitive=a.case_insensitive)
+                   job=a.once, case_insensitive=a.case_insensitive)
 
 
 def train(spark, a) -> None:
@@ -87,6 +87,7 @@ def main() -> None:
             sub.add_argument("--mode", choices=[preprocess.LIGHT, preprocess.HEAVY], default=preprocess.LIGHT)
             sub.add_argument("--lexicon")
             sub.add_argument("--case-insensitive", action="store_true")
+            sub.add_argument("--once", metavar="NAME", help="append as the job NAME; run again, it adds nothing")
         if name == "label":
             sub.add_argument("--rows", type=int, default=reports.SAMPLE_ROWS, help="posts labelled per month")
         if name == "sentiment":

@@ -468,6 +468,8 @@ def build() -> dict[str, str]:
         "row_file_counts": f"""{posts} SELECT count(*) AS n_rows, count(DISTINCT file) AS n_files FROM posts""",
         "write_read_partitioned": f"""{_preprocessing(numbered=NUMBERED.format("file >= 'src15', file, pos", 'built'))}
             SELECT year_month, id, text, country, date FROM numbered""",
+        "append_retried": f"""{_preprocessing(numbered=NUMBERED.format("file >= 'src15', file, pos", 'built'))}
+            SELECT year_month, id, text, country, date FROM numbered""",
         "write_read_located": f"""{_preprocessing(located=LOCATED, numbered=NUMBERED.format('file, pos', 'located'))}
             SELECT year_month, id, country, lat, lon, date FROM numbered""",
         "read_one_month": f"""{labelled} SELECT id, country, sentiment, sentiment_score FROM labelled

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from posttide.operators import lemmas, places, posts
 from posttide.session import job_scratch, materialize
-from posttide.sources import readers, writers
+from posttide.sources import ledger, readers, writers
 
 LIGHT, HEAVY = "light", "heavy"
 
@@ -35,17 +35,24 @@ def preprocess(raw: DataFrame, index: DataFrame, mode: str = LIGHT,
 
 
 def run(spark: SparkSession, posts_path: str, gazetteer_path: str, out: str, mode: str = LIGHT,
-        lexicon: DataFrame | None = None, fmt: str = "parquet", **options) -> None:
+        lexicon: DataFrame | None = None, fmt: str = "parquet", job: str | None = None, **options) -> None:
     """CSV folder to `out`/all and `out`/located, one folder per month each.
 
     The reader lands raw text once. The preprocessed rows are written once
     before the two sinks, so that cleaning and place lookup run once. All
-    intermediate tables go when the job ends.
+    intermediate tables go when the job ends. With a `job` name the sinks are tables of `sources.ledger` (Parquet):
+    the same job run again adds nothing.
     """
+    if job and fmt != "parquet":
+        raise ValueError("named jobs append to Parquet tables only")
     with job_scratch(spark):
         raw = readers.read_posts(spark, posts_path)
         gaz = readers.read_gazetteer(spark, gazetteer_path)
         index = materialize(places.build_place_index(gaz), "place-index")
         rows = materialize(preprocess(raw, index, mode, lexicon, **options), "preprocessed")
+        if job:
+            ledger.append_once(rows, f"{out}/all", job)
+            ledger.append_once(posts.filter_located(rows), f"{out}/located", job)
+            return
         writers.write_posts(rows, f"{out}/all", fmt)
         writers.write_located(rows, f"{out}/located", fmt)

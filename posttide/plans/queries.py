@@ -14,7 +14,7 @@ from posttide.operators import (classify, hypothesis, lemmas, places, posts, ran
                                 topic_batches, topics)
 from posttide.plans import adapters, preprocess, reports
 from posttide.session import materialize, scratch_path
-from posttide.sources import readers, writers
+from posttide.sources import ledger, readers, writers
 
 # The labelled table covers other years than the jobs' own period.
 PERIOD = {"start": date(1996, 3, 1), "end": date(1997, 4, 30)}
@@ -350,6 +350,17 @@ def write_read_partitioned(spark, sf):
     return flat(readers.read_preprocessed(spark, path).select("year_month", "id", "text", "country", "date"))
 
 
+@query
+def append_retried(spark, sf):
+    """Two jobs to one table, the first of them run again after the second."""
+    path = scratch_path(spark, "appended")
+    rows = materialize(preprocessed(spark, sf), "preprocessed")
+    early, late = rows.where("file < 'src15'"), rows.where("file >= 'src15'")
+    for part, job in ((early, "early"), (late, "late"), (early, "early")):
+        ledger.append_once(part, path, job)
+    return flat(ledger.read_appended(spark, path).select("year_month", "id", "text", "country", "date"))
+
+
 @query
 def write_read_located(spark, sf):
     path = scratch_path(spark, "located")

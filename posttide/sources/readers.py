@@ -12,6 +12,7 @@ from posttide.functions import dates
 from posttide.operators.joins import lookup_join
 from posttide.operators.ranking import BLOCK_ROWS, bucketed_row_number
 from posttide.session import materialize
+from posttide.sources import ledger
 
 # Columns read at first; files with more are read again with as many as the widest header has.
 COLUMNS = 64
@@ -127,10 +128,13 @@ def _stored_csv(spark: SparkSession, path: str, types: Mapping[str, str]) -> Dat
 
 
 def read_preprocessed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Preprocessed posts written by `write_posts`; on Parquet, filters on `year_month` prune folders."""
+    """Preprocessed posts written by `write_posts` or `ledger.append_once`; on Parquet, filters on `year_month` prune
+    folders."""
     if fmt == "csv":
         return _stored_csv(spark, path, {c: t for c, t in schemas.LABELLED_TYPES.items()
                                          if c in schemas.PREPROCESSED_COLUMNS})
+    if ledger.has_commits(spark, path):
+        return ledger.read_appended(spark, path)
     return spark.read.parquet(path)
 
 
