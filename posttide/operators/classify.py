@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,11 +107,65 @@ def default_classifier(features: int = 1 << 16, max_iter: int = 20) -> Classifie
                                        LogisticRegression(maxIter=max_iter)]))
 
 
-def bayes_classifier(words: Sequence[str], pattern: str = r"[a-z]+") -> Classifier:
+class BayesClassifier(Classifier):
+    """Naive Bayes over word counts. What a fold must not see is subtracted from counts over all folds."""
+
+    def __init__(self, prepare: Transformer, estimator: Estimator, words: Sequence[str], pattern: str):
+        super().__init__(prepare, estimator)
+        self.words, self.pattern = list(words), pattern
+
+    def fold_predictions(self, folds: DataFrame, k: int, ids: Sequence[str]) -> DataFrame:
+        """Every row of `folds` (ids, text, label, fold) predicted by the counts of the other folds.
+
+        One aggregation counts the words per fold and label; a training set is the total less its own fold, so no
+        fold is fitted or read by itself. The table of logarithms has a row per word and fold, at most the vocabulary
+        times k, and is broadcast. All labels of the table count as classes of every training set. The lowest label
+        wins ties, as in the fitted model.
+        """
+        spark = folds.sparkSession
+        sizes = {(r[0], r[1]): r[2] for r in folds.groupBy("fold", "label").count().collect()}  # k times labels
+        labels, numbers = sorted({label for _, label in sizes}), range(1, k + 1)
+        if not labels:
+            return folds.select(*ids, "text", "label", "fold", F.lit(None).cast("double").alias("prediction"))
+        tokens = F.regexp_extract_all(F.lower("text"), F.lit(self.pattern), F.lit(0))
+        known = spark.createDataFrame([(w,) for w in self.words], "term string")
+        own = {(f, i): F.count_if((F.col("fold") == f) & (F.col("label") == label)).alias(f"own_{f}_{i}")
+               for f in numbers for i, label in enumerate(labels)}
+        counts = materialize(folds.select("fold", "label", F.explode(tokens).alias("term"))
+                             .join(F.broadcast(known), "term").groupBy("term").agg(*own.values()), "fold-counts")
+        mass = counts.agg(*[F.coalesce(F.sum(f"own_{f}_{i}"), F.lit(0)).alias(f"own_{f}_{i}") for f, i in own]).first()
+
+        def others(f: int, i: int, of: Callable[[int, int], object]) -> object:
+            return reduce(lambda a, b: a + b, [of(g, i) for g in numbers if g != f])
+
+        def weight(f: int, i: int) -> Column:
+            seen = others(f, i, lambda g, i: F.col(f"own_{g}_{i}"))
+            return F.log(seen + 1) - F.log(F.lit(float(others(f, i, lambda g, i: mass[f"own_{g}_{i}"]) + len(self.words))))
+
+        def prior(f: int, i: int) -> float:
+            rows = [others(f, j, lambda g, j: sizes.get((g, labels[j]), 0)) for j in range(len(labels))]
+            return math.log(rows[i] + 1) - math.log(sum(rows) + len(labels))
+
+        table = counts.select("term", F.explode(F.array(*[
+            F.struct(F.lit(f).alias("fold"), *[weight(f, i).alias(f"w{i}") for i in range(len(labels))])
+            for f in numbers])).alias("e")).select("term", "e.*")
+        summed = (folds.select(*ids, "text", "label", "fold", F.explode_outer(tokens).alias("term"))
+                  .join(F.broadcast(table), ["term", "fold"], "left").groupBy(*ids, "label", "fold")
+                  .agg(F.first("text").alias("text"),
+                       *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(labels))]))
+        priors = F.array(*[F.array(*[F.lit(prior(f, i)) for f in numbers]) for i in range(len(labels))])
+        scores = F.array(*[F.col(f"w{i}") + F.get(F.get(priors, F.lit(i)), F.col("fold") - 1)
+                           for i in range(len(labels))])
+        best = F.array_position(scores, F.array_max(scores)).cast("int")
+        return summed.select(*ids, "text", "label", "fold",
+                             F.get(F.array(*map(F.lit, labels)), best - 1).alias("prediction"))
+
+
+def bayes_classifier(words: Sequence[str], pattern: str = r"[a-z]+") -> BayesClassifier:
     """Counts of the given words into a multinomial naive Bayes model, which has a closed form."""
     split = RegexTokenizer(inputCol="text", outputCol="_words", gaps=False, pattern=pattern)
     counts = CountVectorizerModel.from_vocabulary(list(words), inputCol="_words", outputCol="features")
-    return Classifier(PipelineModel([split, counts]), NaiveBayes(smoothing=1.0))
+    return BayesClassifier(PipelineModel([split, counts]), NaiveBayes(smoothing=1.0), words, pattern)
 
 
 def _labelled(df: DataFrame, *extra: str) -> DataFrame:
@@ -148,10 +203,14 @@ def fold_predictions(df: DataFrame, estimator: Estimator | Classifier | None = N
                      ids: Sequence[str] = ("id",)) -> DataFrame:
     """Every row predicted by the model trained on the other folds: ids, text, label, fold, prediction.
 
-    Texts become features once, before the folds; a fold only fits what must be fitted.
+    Texts become features once, before the folds; a fold only fits what must be fitted, and naive Bayes fits none.
     """
+    if k < 2:
+        raise ValueError("at least two folds are needed")
     parts = _halves(estimator)
     assigned = assign_folds(_labelled(df, *ids), k, seed, ids)
+    if isinstance(parts, BayesClassifier):
+        return parts.fold_predictions(materialize(assigned, "folds"), k, ids)
     folds = materialize(parts.prepare.transform(assigned).drop("_words"), "folds")
     predicted = []
     for fold in range(1, k + 1):
