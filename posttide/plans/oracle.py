@@ -536,6 +536,10 @@ def build() -> dict[str, str]:
             SELECT row_key, CASE WHEN text IS NULL THEN NULL WHEN s1 > s0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
             CASE WHEN text IS NOT NULL THEN round(1 / (1 + exp(-abs(s1 - s0))), 4) END AS sentiment_score
             FROM posts JOIN scored ON k = CAST(row_key AS VARCHAR)""",
+        "default_classifier": f"""{_ctes(training=TRAINING, rows=TRAINING_ROWS)}
+            SELECT count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive, CAST(sum(len(regexp_extract_all(
+              lower(coalesce(text, '')), '[' || chr(92) || 'p{{L}}' || chr(92) || 'p{{N}}]+'))) AS BIGINT) AS n_words,
+            round(avg(label), 4) AS mean_probability, true AS is_optimal FROM rows""",
         "cross_validate": f"""{folded} SELECT CAST(fold AS INTEGER) AS fold,
             avg(CASE WHEN (s1 > s0) = (label = 1) THEN 1 ELSE 0 END) AS accuracy FROM predicted GROUP BY fold""",
         "wrong_predictions": f"""{folded} SELECT textID, label, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS prediction,

@@ -601,7 +601,8 @@ def training_posts(spark, sf):
 
 
 def word_bayes(rows: DataFrame) -> classify.Classifier:
-    """Naive Bayes over the vocabulary of all training texts: a model in closed form, which SQL can repeat."""
+    """Naive Bayes over the vocabulary of the training texts (the 5,000 most frequent words that three or more of them
+    have): a model in closed form, which SQL can repeat."""
     words = rows.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
     return classify.bayes_classifier(terms.term_list(terms.vocabulary(words)))
 
@@ -615,6 +616,22 @@ def score_sentiment(spark, sf):
         "row_key", "sentiment", F.round("sentiment_score", 4).alias("sentiment_score"))
 
 
+@query
+def score_sentiment_default(spark, sf):
+    """The default classifier trained on all labelled texts, over all posts."""
+    model = classify.train_classifier(training_posts(spark, sf))
+    return classify.score_with_classifier(raw_posts(spark, sf), model).select(
+        "row_key", "sentiment", F.round("sentiment_score", 4).alias("sentiment_score"))
+
+
+@query
+def default_classifier(spark, sf):
+    """What proves the default classifier's fit on all labelled texts: its gradient vanishes."""
+    rows = training_posts(spark, sf)
+    return classify.fit_certificate(rows, classify.train_classifier(rows)).select(
+        "n_rows", "n_positive", "n_words", F.round("mean_probability", 4).alias("mean_probability"), "is_optimal")
+
+
 @query
 def score_sentiment_batches(spark, sf):
     """A caller's Python model in Arrow batches; it fails on texts without any vowel."""

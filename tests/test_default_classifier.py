@@ -1,0 +1,103 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from posttide.operators import classify
+
+WORDS = ["good", "fine", "bad", "poor", "so", "the", "a", "Überall", "x1"]
+N = 80
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(7)
+    made = []
+    for i in range(N):
+        text = " ".join(rng.choice(WORDS) for _ in range(rng.randrange(7)))
+        made.append((i, None if i % 11 == 0 else text, float(("good" in text) ^ (rng.random() < 0.2))))
+    return spark.createDataFrame(made + [(N, "no label", None)], "id long, text string, label double")
+
+
+def plain(rows, classifier):
+    """(features, their units, labels) of the labelled rows in the order of their ids: TF-IDF in standard deviations."""
+    given = rows.where("label is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    found = classifier.prepare.transform(given).orderBy("id").select(vector_to_array("_tf").alias("tf"), "label").collect()
+    tf, y = np.array([r.tf for r in found]), np.array([r.label for r in found])
+    x = tf * np.log((len(tf) + 1) / ((tf > 0).sum(0) + 1))
+    unit = x.std(0, ddof=1)
+    return np.divide(x, unit, out=np.zeros_like(x), where=unit > 0), unit, y
+
+
+def plain_gradient(x, y, weights, intercept, penalty):
+    miss = 1 / (1 + np.exp(-(x @ weights + intercept))) - y
+    return x.T @ miss / len(y) + penalty * weights, miss.mean()
+
+
+def plain_fit(x, y, penalty):
+    """Newton's method on all coefficients and the intercept."""
+    wide, at = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    pull = penalty * np.eye(len(at))
+    pull[-1, -1] = 0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-wide @ at))
+        at = at - np.linalg.solve(wide.T @ (wide * (p * (1 - p))[:, None]) / len(y) + pull,
+                                  wide.T @ (p - y) / len(y) + pull @ at)
+    return at[:-1], at[-1]
+
+
+@pytest.mark.parametrize("penalty,features", [(0.01, 64), (0.1, 4)])
+def test_fit_equals_newtons_method(rows, penalty, features):
+    classifier = classify.default_classifier(features, penalty=penalty)
+    x, unit, y = plain(rows, classifier)
+    weights, intercept = plain_fit(x, y, penalty)
+    model = classify.train_classifier(rows, classifier)
+    fitted = model.stages[-1].stages[-1]
+    assert np.abs(fitted.coefficients.toArray() * unit - weights).max() < 1e-4 and abs(fitted.intercept - intercept) < 1e-4
+    row = classify.fit_certificate(rows, model, penalty).first()
+    assert row.is_optimal and row.n_rows == N and row.n_positive == y.sum() and row.largest_gradient < 1e-4
+    assert abs(row.mean_probability - y.mean()) < 1e-4
+
+
+def test_gradient_equals_the_formula_away_from_the_best(rows):
+    classifier = classify.default_classifier(64, max_iter=1)
+    x, unit, y = plain(rows, classifier)
+    model = classify.train_classifier(rows, classifier)
+    fitted = model.stages[-1].stages[-1]
+    wanted, at_intercept = plain_gradient(x, y, fitted.coefficients.toArray() * unit, fitted.intercept, classify.PENALTY)
+    found = {r.feature: r.gradient for r in classify.loss_gradient(rows, model).collect()}
+    assert abs(found.pop(-1) - at_intercept) < 1e-12
+    assert all(abs(found.get(i, 0.0) - g) < 1e-12 for i, g in enumerate(wanted)) and len(found) > 5
+    row = classify.fit_certificate(rows, model).first()
+    assert not row.is_optimal and abs(row.largest_gradient - max(abs(wanted).max(), abs(at_intercept))) < 1e-12
+
+
+def test_one_shuffle_and_no_python_in_the_gradient(rows):
+    model = classify.train_classifier(rows, classify.default_classifier(64))
+    plan = classify.loss_gradient(rows, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Join" not in plan
+
+
+def test_no_rows_and_other_models(rows):
+    model = classify.train_classifier(rows, classify.default_classifier(64))
+    row = classify.fit_certificate(rows.where("id < 0"), model).first()
+    assert row.n_rows == 0 and row.n_words == 0 and row.mean_probability is None
+    with pytest.raises(ValueError):
+        classify.loss_gradient(rows, classify.train_classifier(rows, classify.bayes_classifier(["good"])))
+
+
+def test_separable_classes_have_a_best_model(spark):
+    rows = spark.createDataFrame([(i, "good" if i % 2 else "bad", float(i % 2)) for i in range(20)], "id long, text string, label double")
+    assert classify.fit_certificate(rows, classify.train_classifier(rows)).first().is_optimal
+
+
+def test_labels_of_the_posts(spark, sf_dir):
+    from posttide.plans import queries
+
+    scored = queries.score_sentiment_default(spark, sf_dir)
+    posts = queries.raw_posts(spark, sf_dir)
+    assert scored.count() == posts.count()
+    assert scored.where("sentiment_score < 0.5 or sentiment not in ('POSITIVE', 'NEGATIVE')").count() == 0
+    assert scored.where("sentiment is null").count() == posts.where("text is null").count()
