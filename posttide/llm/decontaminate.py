@@ -15,9 +15,14 @@ from pyspark.sql import types as T
 
 from posttide.llm import blocks
 
+#: Longest q-grams; shorter benchmark texts are never looked for.
 Q = 10
 #: Edits allowed per byte of a benchmark text.
 EDIT_RATE = 0.08
+#: Shared q-grams of texts and benchmark that are counted at a time.
+POSTINGS = 1 << 21
+#: Cells of the passages that are aligned at a time.
+CELLS = 1 << 22
 #: A benchmark larger than this is searched for slice by slice, in several passes.
 SLICE_BYTES = 16 << 20
 TABLE_BITS = 22
@@ -30,31 +35,39 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(FOLD).split())
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the Q bytes from every position on. Equal bytes have equal hashes; different ones that share a
-    hash only add to a count, and alignment decides."""
-    if len(data) < Q:
+def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the q bytes from every position on, q at most ten. Equal bytes have equal hashes; different ones that
+    share a hash only add to a count, and alignment decides."""
+    n = len(data) - q + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    one = data.astype(np.uint64)
+    one = np.zeros(len(data) + 7, np.uint64)
+    one[:len(data)] = data
     two = one[:-1] << np.uint64(8) | one[1:]
     four = two[:-2] << np.uint64(16) | two[2:]
     eight = four[:-4] << np.uint64(32) | four[4:]
-    n = len(data) - Q + 1
-    mixed = (eight[:n] ^ eight[:n] >> np.uint64(29)) * ODD[0] + two[8:8 + n] * ODD[1]
+    head = eight[:n] >> np.uint64(8 * max(8 - q, 0))
+    mixed = (head ^ head >> np.uint64(29)) * ODD[0]
+    if q > 8:
+        mixed += two[q - 2:q - 2 + n] * ODD[1]
     return (mixed ^ mixed >> np.uint64(32)) * ODD[0]
 
 
-def budget(length: int, rate: float = EDIT_RATE) -> tuple[int, int]:
-    """Edits allowed for a benchmark text and the q-grams that it then shares for sure, one at least: an edit
-    destroys at most Q of its length - Q + 1 q-grams."""
-    edits = min(math.floor(rate * length), (length - Q) // Q)
-    return edits, length - Q + 1 - edits * Q
+def budget(length: int, rate: float = EDIT_RATE) -> tuple[int, int, int]:
+    """Edits allowed for a benchmark text, the length of its q-grams, and how many of them it then shares for sure.
+
+    An edit destroys at most q of its length - q + 1 q-grams; q is the largest length up to ten that leaves one.
+    """
+    edits = math.floor(rate * length)
+    q = min(Q, length // (edits + 1))
+    return edits, q, length - q + 1 - edits * q
 
 
 @dataclass
 class Index:
-    """Positions of all q-grams of a slice of the benchmark."""
+    """Positions of all q-grams of those texts of a slice of the benchmark that have one q."""
 
+    q: int
     ids: list
     texts: list[bytes]
     keys: np.ndarray
@@ -66,27 +79,34 @@ class Index:
     least: np.ndarray
 
     @classmethod
-    def build(cls, ids: list, texts: list[bytes], rate: float = EDIT_RATE) -> Index:
-        usable = [i for i, t in enumerate(texts) if len(t) >= Q]
-        ids, texts = [ids[i] for i in usable], [texts[i] for i in usable]
-        hashes = [gram_hashes(np.frombuffer(t, np.uint8)) for t in texts]
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    def build(cls, q: int, ids: list, texts: list[bytes], rate: float) -> Index:
+        hashes = [gram_hashes(np.frombuffer(t, np.uint8), q) for t in texts]
+        every = np.concatenate(hashes)
         item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes]).astype(np.int64)
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(every, kind="stable")
         keys, first = np.unique(every[order], return_index=True)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[every >> np.uint64(64 - TABLE_BITS)] = True
-        both = np.array([budget(len(t), rate) for t in texts], np.int64).reshape(-1, 2)
-        return cls(ids, texts, keys, np.append(first, len(every)), item[order], place[order], table,
-                   both[:, 0], both[:, 1])
+        rules = np.array([budget(len(t), rate) for t in texts], np.int64)
+        return cls(q, ids, texts, keys, np.append(first, len(every)), item[order], place[order], table,
+                   rules[:, 0], rules[:, 2])
+
+
+def indexes(ids: list, texts: list[bytes], rate: float = EDIT_RATE) -> list[Index]:
+    """One index for every q that texts of the slice have: shorter texts have shorter q-grams."""
+    groups: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        if len(t) >= Q:
+            groups.setdefault(budget(len(t), rate)[1], []).append(i)
+    return [Index.build(q, [ids[i] for i in own], [texts[i] for i in own], rate) for q, own in sorted(groups.items())]
 
 
 def shared_grams(index: Index, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every shared q-gram: its position in data, its place in the index, and how often the benchmark has it."""
     found = []
-    for at in range(0, max(len(data) - Q + 1, 0), blocks.PIECE_BYTES):
-        hashes = gram_hashes(data[at:at + blocks.PIECE_BYTES + Q - 1])
+    for at in range(0, max(len(data) - index.q + 1, 0), blocks.PIECE_BYTES):
+        hashes = gram_hashes(data[at:at + blocks.PIECE_BYTES + index.q - 1], index.q)
         hits = np.flatnonzero(index.table[hashes >> np.uint64(64 - TABLE_BITS)])
         values = hashes[hits]
         key = np.minimum(np.searchsorted(index.keys, values), max(len(index.keys) - 1, 0))
@@ -98,29 +118,90 @@ def shared_grams(index: Index, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return position, key, index.first[key + 1] - index.first[key]
 
 
-def align(pattern: bytes, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Fewest edits that turn the pattern into a passage of the text along diagonals low to high, and where the
-    passage ends."""
-    width = high - low + 1
-    steps = np.arange(width)
-    padded = np.full(len(pattern) + width, -1, np.int16)
-    inside = np.arange(low, low + len(padded))
-    there = (inside >= 0) & (inside < len(text))
-    padded[there] = text[inside[there]]
-    cost = np.zeros(width, np.int32)
-    up = np.full(width, 1 << 20, np.int32)
-    for i, byte in enumerate(pattern):
-        up[:-1] = cost[1:] + 1
-        cost = np.minimum(cost + (padded[i:i + width] != byte), up)
-        cost = np.minimum.accumulate(cost - steps) + steps
-    best = int(cost.argmin())
-    return int(cost[best]), len(pattern) + low + best
+def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of three columns in order, and the sum of the counts of each."""
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(len(rows) > 0, (rows[1:] != rows[:-1]).any(axis=1)))
+    return rows[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
+
+
+def bands(index: Index, position: np.ndarray, key: np.ndarray, fan: np.ndarray, owner: np.ndarray,
+          bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """(text, item, band) of every band of diagonals that shares enough q-grams with its item.
+
+    Shared q-grams are expanded to the items that have them piece by piece, in the order of their positions. Of the
+    counts, only those of bands that a later position can still add to are kept from piece to piece.
+    """
+    lengths = np.array([len(t) for t in index.texts], np.int64)
+    ends = np.unique(np.append(np.flatnonzero(np.diff(np.cumsum(fan) // POSTINGS)) + 1, len(position)))
+    held, counts, start = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), 0
+    for end in ends.tolist():
+        many = fan[start:end]
+        each = np.repeat(np.arange(start, end), many)
+        posting = index.first[key[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        item, text = index.item[posting], owner[each]
+        band = (position[each] - bounds[text] - index.place[posting]) // (index.edits[item] + 1)
+        table, n = summed(np.stack([text, item, band], axis=1), np.ones(len(text), np.int64))
+        # Bands overlap: one that begins a step earlier holds the same q-grams.
+        table, total = summed(np.concatenate([held, table, table - (0, 0, 1)]), np.concatenate([counts, n, n]))
+        open_ = np.zeros(len(table), bool)
+        if end < len(position):
+            last = (bounds[table[:, 0]] + (table[:, 2] + 2) * (index.edits[table[:, 1]] + 1) - 1
+                    + lengths[table[:, 1]] - index.q)
+            open_ = last >= position[end]
+        yield table[~open_ & (total >= index.least[table[:, 1]])]
+        held, counts, start = table[open_], total[open_], end
+
+
+def align(patterns: list[bytes], data: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray,
+          width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits that turn each pattern into a passage of its text along the diagonals low to low + width - 1, and
+    where the passage ends. Text k is data[first[k]:last[k]]; patterns come longest first and go step by step together.
+    """
+    lengths = np.array([len(p) for p in patterns], np.int64)
+    longest, steps = int(lengths[0]), np.arange(width, dtype=np.int32)
+    letters = np.zeros((len(patterns), longest), np.uint8)
+    letters[np.arange(longest) < lengths[:, None]] = np.frombuffer(b"".join(patterns), np.uint8)
+    inside = (first + low)[:, None] + np.arange(longest + width)
+    there = (inside >= first[:, None]) & (inside < last[:, None])
+    passage = np.full(inside.shape, -1, np.int16)
+    passage[there] = data[inside[there]]
+    cost = np.zeros((len(patterns), width), np.int32)
+    up = np.full((len(patterns), width), 1 << 20, np.int32)
+    left = np.searchsorted(-lengths, -np.arange(longest), side="left")
+    for i, n in enumerate(left.tolist()):
+        up[:n, :-1] = cost[:n, 1:] + 1
+        now = np.minimum(cost[:n] + (passage[:n, i:i + width] != letters[:n, i, None]), up[:n])
+        cost[:n] = np.minimum.accumulate(now - steps, axis=1) + steps
+    best = cost.argmin(axis=1)
+    return cost[np.arange(len(patterns)), best], lengths + low + best
+
+
+def aligned(index: Index, data: np.ndarray, texts: list[bytes], bounds: np.ndarray,
+            table: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, edits, end) of the bands of a table that hold a match, many at a time."""
+    lengths = np.array([len(t) for t in index.texts], np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    edits = index.edits[table[:, 1]]
+    table = table[np.lexsort((-lengths[table[:, 1]], edits))]
+    start = 0
+    while start < len(table):
+        allowed = int(index.edits[table[start, 1]])
+        width = 2 * (allowed + 1)
+        most = max(CELLS // (int(lengths[table[start, 1]]) + width), 1)
+        some = table[start:start + most]
+        some = some[index.edits[some[:, 1]] == allowed]
+        start += len(some)
+        first = bounds[some[:, 0]]
+        found, ends = align([index.texts[i] for i in some[:, 1].tolist()], data, first, first + sizes[some[:, 0]],
+                            some[:, 2] * (allowed + 1), width)
+        for k in np.flatnonzero(found <= allowed).tolist():
+            yield int(some[k, 0]), int(some[k, 1]), int(found[k]), int(ends[k])
 
 
 def matches(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) for every benchmark text found in a text, at its best place."""
-    if not index.texts:
-        return
     gap = b"\x00" * Q
     data = np.frombuffer(gap.join(texts) + gap, np.uint8)
     bounds = np.cumsum([0] + [len(t) + Q for t in texts])
@@ -131,38 +212,27 @@ def matches(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, i
     position, key, fan, owner = position[use], key[use], fan[use], owner[use]
     if not len(position):
         return
-    each = np.repeat(np.arange(len(position)), fan)
-    posting = index.first[key[each]] + np.arange(len(each)) - np.repeat(np.cumsum(fan) - fan, fan)
-    item, owner = index.item[posting], owner[each]
-    diagonal = position[each] - bounds[owner] - index.place[posting]
-    step = index.edits[item] + 1
-    band = diagonal // step
-    pairs = []
-    for shift in (0, 1):
-        groups = np.stack([owner, item, band - shift], axis=1)
-        table, counts = np.unique(groups, axis=0, return_counts=True)
-        pairs.append((table, counts))
-    table, at = np.unique(np.concatenate([p[0] for p in pairs]), axis=0, return_inverse=True)
-    total = np.bincount(at.ravel(), weights=np.concatenate([p[1] for p in pairs])).astype(np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for o, i, b in table[total >= index.least[table[:, 1]]].tolist():
-        if best.get((o, i), (1,))[0] == 0:
-            continue
-        pattern = index.texts[i]
-        exact = texts[o].find(pattern)
-        if exact >= 0:
-            best[o, i] = (0, exact, exact + len(pattern))
-            continue
-        width = int(index.edits[i]) + 1
-        low = b * width
-        edits, end = align(pattern, np.frombuffer(texts[o], np.uint8), low, low + 2 * width - 1)
-        if edits <= index.edits[i]:
-            start = max(0, end - len(pattern) - edits)
-            best[o, i] = min(best.get((o, i), (edits, start, end)), (edits, start, end))
+    for table in bands(index, position, key, fan, owner, bounds):
+        for o, i, edits, end in aligned(index, data, texts, bounds, table):
+            if best.get((o, i), (1,))[0] == 0:
+                continue
+            pattern = index.texts[i]
+            exact = texts[o].find(pattern)
+            match = ((0, exact, exact + len(pattern)) if exact >= 0
+                     else (edits, max(0, end - len(pattern) - edits), end))
+            best[o, i] = min(best.get((o, i), match), match)
     for (o, i), (edits, start, end) in sorted(best.items()):
         yield o, i, start, end, edits
 
 
+def found_in(searched: list[Index], texts: list[bytes]) -> Iterator[tuple[int, object, int, int, int]]:
+    """(text, id, start, end, edits) for every benchmark text of all indexes found in a text."""
+    for index in searched:
+        for o, i, start, end, edits in matches(index, texts):
+            yield o, index.ids[i], start, end, edits
+
+
 def slices(benchmark: DataFrame, text: str, item_id: str) -> Iterator[tuple[list, list[bytes]]]:
     """The benchmark in slices of bounded size, by a hash of the text."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text"))
@@ -186,9 +256,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     Both sides are compared in lower case, with everything but letters and digits as one space; start and end are
     bytes of that form. The q-gram lemma rules out every band of diagonals that cannot hold a match, so none is
     lost; alignment within a band decides. Null and empty texts contain nothing; benchmark texts that are null or
-    shorter than ten bytes are never found; repeated rows on either side are found each. The benchmark travels
+    in that form shorter than ten bytes, which are words that any text may have, are never found; repeated rows on either side are found each. The benchmark travels
     to the tasks in slices of bounded size, one pass over the documents for each.
     """
+    if not 0 <= rate < 1:
+        raise ValueError("at most one edit per byte is possible, and then everything matches")
     keep = list(docs.columns) if keep is None else list(keep)
     clash = set(keep) & {"item_id", "start", "end", "edits"}
     if clash:
@@ -203,14 +275,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
         shared = context.broadcast((ids, texts, rate))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index.build(*shared.value)
+            searched = indexes(*shared.value)
             for batch in batches:
                 for part in blocks.split_rows(batch, "text", blocks.BLOCK_BYTES):
-                    rows = list(matches(index, _texts(part, "text")))
+                    rows = list(found_in(searched, _texts(part, "text")))
                     if rows:
                         own = part.take(pa.array([r[0] for r in rows]))
                         yield pa.RecordBatch.from_arrays(
-                            [*(own.column(n) for n in names), pa.array([index.ids[r[1]] for r in rows]).cast(
+                            [*(own.column(n) for n in names), pa.array([r[1] for r in rows]).cast(
                                 batch_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))],
                             [f.name for f in schema])
 
@@ -228,14 +300,14 @@ def contains(texts_of_slice: Broadcast) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.BooleanType())
     def contaminated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index.build(*texts_of_slice.value)
+        searched = indexes(*texts_of_slice.value)
         for batch in batches:
             found = []
             for part in blocks.split_array(batch, blocks.PIECE_BYTES):
-                hit = {r[0] for r in matches(index, [normalised(t) if t else b"" for t in part.to_pylist()])}
+                hit = {r[0] for r in found_in(searched, [normalised(t) if t else b"" for t in part.to_pylist()])}
                 found += [i in hit for i in range(len(part))]
             yield pa.array(found, pa.bool_())
-        index = None
+        searched = None
         blocks.release()
 
     return contaminated
@@ -243,7 +315,11 @@ def contains(texts_of_slice: Broadcast) -> Callable[[Column], Column]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                         rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of `docs` in which `find_passages` finds no benchmark text."""
+    """The rows of `docs` in which `find_passages` finds no benchmark text, with all their columns.
+
+    Rows with null or empty texts stay, repeated rows stay or go together, an empty benchmark removes nothing; very
+    long texts are searched whole, and no column name clashes.
+    """
     left = docs
     for ids, texts in slices(benchmark, text, item_id):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts, rate))
