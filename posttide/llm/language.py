@@ -16,7 +16,7 @@ from posttide.llm import blocks
 from posttide.operators.joins import lookup_join
 from posttide.session import materialize
 
-#: The fit takes at most this many documents of each language, of at most this many bytes, and words of them.
+#: The fit takes at most this many documents of each language, at most this many bytes of each, and words of them.
 SAMPLE = 150
 SAMPLE_BYTES = 16 << 10
 WORDS = 40_000
@@ -159,14 +159,24 @@ def smallest_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
 
+def stretch(text: Column, h: Column, size: int) -> Column:
+    """The text; of one with more than `size` bytes, the size // 4 characters from a place on that its hash names."""
+    run = size // 4
+    start = (F.pmod(h, F.char_length(text) - run + 1) + 1).cast("int")
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.substring(text, start, F.lit(run)))
+
+
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> dict:
     """Learned languages and weights. Uses only texts and non-null languages of documents for which `learn` holds:
-    of each language at most SAMPLE documents of at most SAMPLE_BYTES bytes, in the order of a hash of the text,
-    and WORDS distinct words in all. Without any such document nothing is learned."""
-    known = docs.where(learn & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(
+    of each language at most SAMPLE documents, in the order of a hash of the text, of each its `stretch` of at most
+    SAMPLE_BYTES bytes, and WORDS words in all. Null texts teach nothing. Without any such document nothing is
+    learned."""
+    known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     chosen = smallest_hashes(known.select("lang", "h"), "lang", SAMPLE).drop("n")
-    rows = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).select(
+        "lang", "h", stretch(F.col("text"), F.col("h"), SAMPLE_BYTES).alias("text")).groupBy("lang", "h").agg(
+        F.min("text").alias("text"))
     rows = rows.orderBy("lang", "h").collect()
     languages = sorted({r.lang for r in rows})
     if not languages:
@@ -254,5 +264,6 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
         labeller = None
         blocks.release()
 
-    found = docs.select(*[F.col(f"`{c}`") for c in keep], labelled(F.col(f"`{text}`")).alias("_found"))
-    return found.select(*[F.col(f"`{c}`") for c in keep], "_found.lang_pred", "_found.score")
+    own = "_" * (1 + max(map(len, keep), default=0))  # a name that none of the kept columns has
+    found = docs.select(*[F.col(f"`{c}`") for c in keep], labelled(F.col(f"`{text}`")).alias(own))
+    return found.select(*[F.col(f"`{c}`") for c in keep], f"{own}.lang_pred", f"{own}.score")

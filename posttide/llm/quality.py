@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posttide.llm import blocks
-from posttide.llm.language import smallest_hashes
+from posttide.llm.language import smallest_hashes, stretch
 from posttide.session import materialize
 
-#: The fit takes at most this many labelled documents of each class, of at most this many bytes.
+#: The fit takes at most this many labelled documents of each class, at most this many bytes of each.
 SAMPLE = 800
 SAMPLE_BYTES = 64 << 10
 DICTIONARY = 32 << 10
@@ -79,19 +79,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text") -> dict:
     """A model of `labels.quality` (doc_id, quality 0 or 1; other values and nulls are ignored).
 
-    Takes at most SAMPLE documents of each class with at most SAMPLE_BYTES bytes, in the order of a hash of the
-    text; every second one goes into the dictionaries, the others calibrate the score. The shares of the classes
+    Takes at most SAMPLE documents of each class, in the order of a hash of the text, of each its `stretch` of at
+    most SAMPLE_BYTES bytes; every second one goes into the dictionaries, the others calibrate the score. The shares of the classes
     are counted over all labelled documents.
     """
     marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     known = docs.where(learn).select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     known = known.withColumn("h", F.xxhash64("text", "doc_id"))
-    small = known.select("doc_id", "h", (F.octet_length("text") <= SAMPLE_BYTES).alias("fits"))
-    found = materialize(small.join(marked, "doc_id").select("quality", "h", "doc_id", "fits"), "labelled")
+    found = materialize(known.select("doc_id", "h").join(marked, "doc_id").select("quality", "h", "doc_id"), "labelled")
     shares = dict(found.groupBy("quality").count().collect())
-    chosen = smallest_hashes(found.where("fits").select("quality", "h", "doc_id"), "quality", SAMPLE)
-    rows = (known.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("quality", "n").agg(F.min("text").alias("text"))
-            .orderBy("quality", "n").collect())
+    chosen = smallest_hashes(found, "quality", SAMPLE)
+    rows = (known.join(F.broadcast(chosen), ["doc_id", "h"]).select(
+                "quality", "n", stretch(F.col("text"), F.col("h"), SAMPLE_BYTES).alias("text"))
+            .groupBy("quality", "n").agg(F.min("text").alias("text")).orderBy("quality", "n").collect())
     by_class = {q: [r.text.encode() for r in rows if r.quality == q] for q in (0, 1)}
     total = sum(shares.values())
     if not by_class[0] or not by_class[1]:

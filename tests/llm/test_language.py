@@ -82,3 +82,25 @@ def test_a_language_of_one_text_in_many_copies_is_learned(spark):
         assert {r.lang: r["count"] for r in found.groupBy("lang").count().collect()} == {"many": 50, "one": 1}
     few = spark.range(20_000).select(F.lit("few").alias("lang"), F.xxhash64(F.col("id") % 40).alias("h"))
     assert language.smallest_hashes(few, "lang", 30).count() == 30
+
+
+def test_a_language_of_long_texts_only_is_learned(documents):
+    rows = [(i, f"der und die ist nicht {i} " * 900, "de") for i in range(12)]
+    rows += [(50 + i, f"the and of that with {i}", "en") for i in range(12)]
+    docs = documents(rows + [(99, None, "fr")]).withColumn("_found", F.lit(2))
+    model = language.fit(docs, F.lit(True))
+    assert model["languages"] == ["de", "en"]
+    got = {r.doc_id: (r.lang_pred, r["_found"]) for r in language.identify(docs, model).collect()}
+    assert got == {i: ("de", 2) for i in range(12)} | {50 + i: ("en", 2) for i in range(12)} | {99: ("und", 2)}
+
+
+def test_stretch(spark):
+    texts = ["", "short", "x" * 64, "é" * 32, "é" * 33, "abcdefghij" * 50, "日本語 " * 40]
+    rows = spark.createDataFrame([(t, h) for t in texts for h in (0, 1, -7, 2 ** 62, -2 ** 63)], "text string, h long")
+    found = rows.withColumn("part", language.stretch(F.col("text"), F.col("h"), 64)).collect()
+    for r in found:
+        if len(r.text.encode()) <= 64:
+            assert r.part == r.text
+        else:
+            start = r.h % (len(r.text) - 16 + 1)
+            assert r.part == r.text[start:start + 16] and len(r.part.encode()) <= 64

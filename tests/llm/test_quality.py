@@ -51,3 +51,12 @@ def test_odd_labels_and_texts(documents, spark):
     assert quality.score(docs.where("doc_id > 5000"), model).count() == 0
     with pytest.raises(ValueError):
         quality.score(docs.withColumn("score", F.lit(1)), model)
+
+
+def test_a_class_of_long_texts_only_is_learned(documents, spark):
+    rows = [(i, f"good plain words number {i} and more of them") for i in range(40)]
+    rows += [(100 + i, f"$$%% ## {i} || @@ !! ~~ ^^ && " * 2500) for i in range(6)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(documents(rows), labels, F.lit(True))
+    got = {r.doc_id: r.score for r in quality.score(documents(rows), model).collect()}
+    assert min(got[i] for i in range(40)) > 0.5 > max(got[100 + i] for i in range(6))
