@@ -128,9 +128,9 @@ class BayesClassifier(Classifier):
         """Every row of `folds` (ids, text, label, fold) predicted by the counts of the other folds.
 
         One aggregation counts the words per fold and label; a training set is the total less its own fold, so no
-        fold is fitted or read by itself. The table of logarithms has a row per word and fold, at most the vocabulary
-        times k, and is broadcast. All labels of the table count as classes of every training set. The lowest label
-        wins ties, as in the fitted model.
+        fold is fitted or read by itself. The table of logarithms has a row per fold with a number per word and label,
+        and is broadcast; a row sums its own bag with it, so no word travels with the text it is from. All labels of
+        the table count as classes of every training set. The lowest label wins ties, as in the fitted model.
         """
         spark = folds.sparkSession
         sizes = {(r[0], r[1]): r[2] for r in folds.groupBy("fold", "label").count().collect()}  # k times labels
@@ -138,11 +138,12 @@ class BayesClassifier(Classifier):
         if not labels:
             return folds.select(*ids, "text", "label", "fold", F.lit(None).cast("double").alias("prediction"))
         tokens = F.regexp_extract_all(F.lower("text"), F.lit(self.pattern), F.lit(0))
-        known = spark.createDataFrame([(w,) for w in self.words], "term string")
+        known = spark.createDataFrame(list(enumerate(self.words)), "place int, term string")
         own = {(f, i): F.count_if((F.col("fold") == f) & (F.col("label") == label)).alias(f"own_{f}_{i}")
                for f in numbers for i, label in enumerate(labels)}
-        counts = materialize(folds.select("fold", "label", F.explode(tokens).alias("term"))
-                             .join(F.broadcast(known), "term").groupBy("term").agg(*own.values()), "fold-counts")
+        seen = (folds.select("fold", "label", F.explode(tokens).alias("term"))
+                .join(F.broadcast(known), "term").groupBy("place").agg(*own.values()))
+        counts = materialize(known.select("place").join(seen, "place", "left").na.fill(0), "fold-counts")
         mass = counts.agg(*[F.coalesce(F.sum(f"own_{f}_{i}"), F.lit(0)).alias(f"own_{f}_{i}") for f, i in own]).first()
 
         def others(f: int, i: int, of: Callable[[int, int], object]) -> object:
@@ -156,13 +157,26 @@ class BayesClassifier(Classifier):
             rows = [others(f, j, lambda g, j: sizes.get((g, labels[j]), 0)) for j in range(len(labels))]
             return math.log(rows[i] + 1) - math.log(sum(rows) + len(labels))
 
-        table = counts.select("term", F.explode(F.array(*[
+        def in_order(i: int) -> Column:
+            return F.transform(F.array_sort(F.collect_list(F.struct("place", f"w{i}"))), lambda e: e[f"w{i}"])
+
+        table = counts.select("place", F.explode(F.array(*[
             F.struct(F.lit(f).alias("fold"), *[weight(f, i).alias(f"w{i}") for i in range(len(labels))])
-            for f in numbers])).alias("e")).select("term", "e.*")
-        summed = (folds.select(*ids, "text", "label", "fold", F.explode_outer(tokens).alias("term"))
-                  .join(F.broadcast(table), ["term", "fold"], "left").groupBy(*ids, "label", "fold")
-                  .agg(F.first("text").alias("text"),
-                       *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(labels))]))
+            for f in numbers])).alias("e")).select("place", "e.*").groupBy("fold").agg(
+            *[in_order(i).alias(f"_w{i}") for i in range(len(labels))])
+        bag = CountVectorizerModel.from_vocabulary(self.words, inputCol="_words", outputCol="_bag")
+        vector = F.unwrap_udt("_bag")
+
+        def added(i: int) -> Column:
+            each = F.zip_with(vector["indices"], vector["values"], lambda place, n: n * F.get(f"_w{i}", place))
+            return F.coalesce(F.aggregate(each, F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
+
+        given = bag.transform(folds.select(*ids, "text", "label", "fold", tokens.alias("_words")))
+        # Rows of one key, label and fold count as one text.
+        summed = (given.join(F.broadcast(table), "fold", "left")
+                  .select(*ids, "text", "label", "fold", *[added(i).alias(f"w{i}") for i in range(len(labels))])
+                  .groupBy(*ids, "label", "fold")
+                  .agg(F.first("text").alias("text"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(labels))]))
         priors = F.array(*[F.array(*[F.lit(prior(f, i)) for f in numbers]) for i in range(len(labels))])
         scores = F.array(*[F.col(f"w{i}") + F.get(F.get(priors, F.lit(i)), F.col("fold") - 1)
                            for i in range(len(labels))])

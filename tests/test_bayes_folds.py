@@ -39,3 +39,9 @@ def test_no_rows_no_known_words_and_one_fold(spark):
     assert found.count() == 10 and found.where("prediction is null").count() == 0
     with pytest.raises(ValueError):
         classify.fold_predictions(df, bayes, 1)
+
+
+def test_no_text_travels_with_a_word(spark):
+    plan = classify.fold_predictions(rows(spark), classify.bayes_classifier(WORDS), 5)
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Generate" in line and "regexp_extract_all" in line for line in lines)
