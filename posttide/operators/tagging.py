@@ -122,11 +122,12 @@ def best_path(scores: Column, tagger: Tagger) -> Column:
     return once(scores, whole)
 
 
-def _lookup(words: dict[str, int]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def _lookup(words: pa.Array) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """For a list column the number of each element's word (-1: not there) and the ends of the lists."""
     def numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         flat = lists.flatten().dictionary_encode()
-        known = np.array([words.get(w, -1) for w in flat.dictionary.to_pylist()] + [-1], np.int64)
+        found = pa.compute.index_in(flat.dictionary.cast(pa.string()), value_set=words).fill_null(-1)
+        known = np.append(found.to_numpy(zero_copy_only=False).astype(np.int64), -1)
         places = flat.indices.fill_null(len(known) - 1).to_numpy()
         return known[places], np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0))))
 
@@ -138,11 +139,20 @@ def _lists(values: pa.Array, ends: np.ndarray, like: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
 
 
+def _collected(table: DataFrame, values: str, kind: pa.DataType) -> tuple[pa.Array, list[pa.Array]]:
+    """The words of a table of a checked size and, per class, their values: as Arrow columns, since a Python object
+    for every word and value takes ten times their size."""
+    found = table.select("token", *[F.get(values, F.lit(j)).alias(f"v{j}") for j in range(len(CLASSES))]).toArrow()
+    words, *columns = (pa.concat_arrays([part.cast(t) for part in found.column(i).chunks] or [pa.array([], t)])
+                       for i, t in enumerate([pa.string(), *[kind] * len(CLASSES)]))
+    return words, columns
+
+
 def _scores_of(table: DataFrame, unknown: list[int]) -> Callable[[Column], Column]:
     """A table of words and scores as a function of a token list, for tables of a checked size."""
-    rows = table.select("token", "scores").collect()
+    words, columns = _collected(table, "scores", pa.int64())
     shared = table.sparkSession.sparkContext.broadcast(
-        ({r.token: i for i, r in enumerate(rows)}, np.array([r.scores for r in rows] + [unknown], np.int64)))
+        (words, np.stack([np.append(c.to_numpy(), u) for c, u in zip(columns, unknown)], axis=1)))
 
     @F.arrow_udf(T.ArrayType(T.ArrayType(T.LongType())))
     def scores(tokens: pa.Array) -> pa.Array:
@@ -158,19 +168,16 @@ def _scores_of(table: DataFrame, unknown: list[int]) -> Callable[[Column], Colum
 
 def _lemmas_of(table: DataFrame) -> Callable[[Column, Column], Column]:
     """A table of words and lemmas per class as a function of a token list and its classes."""
-    rows = table.select("token", "lemmas").collect()
-    shared = table.sparkSession.sparkContext.broadcast(
-        ({r.token: i for i, r in enumerate(rows)}, [lemma for r in rows for lemma in r.lemmas]))
+    words, columns = _collected(table, "lemmas", pa.string())
+    shared = table.sparkSession.sparkContext.broadcast((words, pa.concat_arrays(columns)))
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def lemmas(tokens: pa.Array, classes: pa.Array) -> pa.Array:
         words, values = shared.value
         number, ends = _lookup(words)(tokens)
-        kind, _ = _lookup({c: j for j, c in enumerate(CLASSES)})(classes)
-        place = np.where((number < 0) | (kind < 0), -1, number * len(CLASSES) + kind)
-        used, at = np.unique(place, return_inverse=True)
-        found = pa.array([None if p < 0 else values[p] for p in used.tolist()], pa.string()).take(pa.array(at))
-        return _lists(pa.compute.coalesce(found, tokens.flatten()), ends, tokens)
+        kind, _ = _lookup(pa.array(CLASSES))(classes)
+        place = pa.array(kind * len(words) + number, mask=(number < 0) | (kind < 0))
+        return _lists(pa.compute.coalesce(values.take(place), tokens.flatten()), ends, tokens)
 
     return lemmas
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import pytest
 from explained import plan_of
@@ -117,3 +118,16 @@ def test_counts_come_from_one_aggregation_and_skip_holes(spark):
     assert plan_of(counts).count("Exchange hashpartitioning") == 1
     got = {(r.kind, r.before, r["class"]): r.n for r in counts.collect()}
     assert got == {("class", "", "n"): 2, ("word", "a", "n"): 1, ("class", "n", "v"): 1, ("word", "d", "n"): 1}
+
+
+@pytest.mark.parametrize("travel,value", [("_scores_of", "scores"), ("_lemmas_of", "lemmas")])
+def test_words_that_travel_are_no_python_objects(spark, travel, value):
+    n = 20_000
+    each = F.array(*[F.lit(-1).cast("bigint") if value == "scores" else F.lit("lemma")] * 4)
+    table = spark.range(n).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("token"), each.alias(value))
+    given = (table, [0, 0, 0, 0]) if value == "scores" else (table,)
+    tracemalloc.start()
+    getattr(tagging, travel)(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * n
