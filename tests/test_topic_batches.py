@@ -107,3 +107,29 @@ def test_empty_table_and_one_folder_per_step(spark, monkeypatch):
     rows, total = tb._write_batches(bags, "id", "features", 20, 8)
     plan = rows.where("folder = 1 and batch = 3")._jdf.queryExecution().executedPlan().toString()
     assert total == 70 and "PartitionFilters: [isnotnull(folder" in plan
+
+
+def stages(spark, run):
+    """Stages of the jobs that `run` starts."""
+    spark.sparkContext.setJobGroup(name := str(random.random()), "")
+    run()
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    return sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(name))
+
+
+def test_a_step_is_one_stage(spark):
+    bags, words = toy(spark)
+    once, thrice = (stages(spark, lambda: tb.fit_topics_in_batches(bags, "id", len(words), k=2, passes=n, batch=16))
+                    for n in (1, 3))
+    assert thrice - once == 2 * 5
+
+
+def test_documents_beside_each_other_do_not_matter():
+    random_state = np.random.RandomState(5)
+    sizes = np.array([1, 7, 40, 3, 1])
+    beta, counts = random_state.rand(10, sizes.sum()), random_state.randint(1, 5, sizes.sum()).astype(float)
+    gamma, added = tb.document_steps(counts, sizes, beta, 0.1)
+    for d, (a, b) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))):
+        alone = tb.document_steps(counts[a:b], sizes[d:d + 1], beta[:, a:b], 0.1)
+        assert (alone[0][0] == gamma[d]).all() and (alone[1] == added[:, a:b]).all()
