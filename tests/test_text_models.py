@@ -208,3 +208,18 @@ def test_frequent_values_and_their_bound(spark):
     assert "Exchange" not in plan  # a written table of summaries, not of values
     with pytest.raises(ValueError):
         terms.frequent(values, "v", 0)
+
+
+def test_a_task_counts_the_ngrams_of_a_bounded_text(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"one two three{i % 7}") for i in range(400)], "id long, text string").coalesce(1)
+    monkeypatch.setattr(terms, "PIECE_BYTES", 256, raising=False)
+    found = terms.ngram_counts(df, 3)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["n"] for r in found.collect()) == 400 and found.count() == 7
+
+
+def test_term_stats_of_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), (["b", None, None],), ([],), (None,)], "tokens array<string>")
+    found = {r["term"]: (r["term_freq"], r["doc_freq"]) for r in terms.term_stats(df).collect()}
+    assert found == {"a": (1, 1), "b": (3, 2), None: (2, 1)}
+    assert "array_distinct" not in terms.term_stats(df)._jdf.queryExecution().optimizedPlan().toString()
