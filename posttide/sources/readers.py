@@ -54,9 +54,9 @@ def read_csv_by_header(spark: SparkSession, path: str | Sequence[str],
     width = COLUMNS
     while True:
         landed = materialize(_scan(spark, path, width, multiline, recursive, glob), "landed-csv")
-        first = landed.groupBy("file").agg(F.min("pos").alias("first"), F.min_by("cells", "pos").alias("header"),
-                                           F.min_by("most", "pos").alias("most"))
-        heads = materialize(first, "csv-headers")
+        first = materialize(landed.groupBy("file").agg(F.min("pos").alias("first")), "first-records")
+        heads = materialize(lookup_join(landed, first, ["file"], "inner").where(F.col("pos") == F.col("first"))
+                            .select("file", "first", F.col("cells").alias("header"), "most"), "csv-headers")
         widest = heads.agg(F.max("most")).first()[0]
         if widest is None:
             raise FileNotFoundError(f"no rows in files that match {glob} under {path}")

@@ -233,3 +233,14 @@ def test_intermediate_tables_end_with_the_job(spark, posts_dir, gaz_path, tmp_pa
     with pytest.raises(Exception):
         preprocess.run(spark, posts_dir, str(tmp_path / "nowhere"), str(tmp_path / "other"))
     assert scratch_tables(spark) == before
+
+
+def test_headers_are_found_without_sorting_the_rows(spark, tmp_path, monkeypatch):
+    plans, plain = [], readers.materialize
+    monkeypatch.setattr(readers, "materialize", lambda df, label: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, label))[1])
+    for name, body in (("a", "x,y\n1,2\n3,4\n"), ("b", "y,x\n5,6\n")):
+        (tmp_path / f"{name}.csv").write_text(body)
+    found = readers.read_csv_by_header(spark, str(tmp_path), ["x", "y"])
+    assert sorted((r.x, r.y) for r in found.collect()) == [("1", "2"), ("3", "4"), ("6", "5")]
+    assert not any("SortAggregate" in p or "Sort [" in p for p in plans)
