@@ -79,18 +79,23 @@ class Index:
     least: np.ndarray
 
     @classmethod
-    def build(cls, q: int, ids: list, texts: list[bytes], rate: float) -> Index:
+    def build(cls, ids: list, texts: list[bytes], rate: float = EDIT_RATE, q: int | None = None) -> Index:
+        """Of texts of at least ten bytes; `q`: the least that any of them needs, if not given."""
+        usable = [i for i, t in enumerate(texts) if len(t) >= Q]
+        ids, texts = [ids[i] for i in usable], [texts[i] for i in usable]
+        q = min((budget(len(t), rate)[1] for t in texts), default=Q) if q is None else q
         hashes = [gram_hashes(np.frombuffer(t, np.uint8), q) for t in texts]
-        every = np.concatenate(hashes)
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
         item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes]).astype(np.int64)
-        place = np.concatenate([np.arange(len(h)) for h in hashes])
+        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])
         order = np.argsort(every, kind="stable")
         keys, first = np.unique(every[order], return_index=True)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[every >> np.uint64(64 - TABLE_BITS)] = True
-        rules = np.array([budget(len(t), rate) for t in texts], np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
+        edits = np.array([budget(len(t), rate)[0] for t in texts], np.int64)
         return cls(q, ids, texts, keys, np.append(first, len(every)), item[order], place[order], table,
-                   rules[:, 0], rules[:, 2])
+                   edits, size - q + 1 - edits * q)
 
 
 def indexes(ids: list, texts: list[bytes], rate: float = EDIT_RATE) -> list[Index]:
@@ -99,7 +104,7 @@ def indexes(ids: list, texts: list[bytes], rate: float = EDIT_RATE) -> list[Inde
     for i, t in enumerate(texts):
         if len(t) >= Q:
             groups.setdefault(budget(len(t), rate)[1], []).append(i)
-    return [Index.build(q, [ids[i] for i in own], [texts[i] for i in own], rate) for q, own in sorted(groups.items())]
+    return [Index.build([ids[i] for i in own], [texts[i] for i in own], rate, q) for q, own in sorted(groups.items())]
 
 
 def shared_grams(index: Index, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
