@@ -36,6 +36,18 @@ def test_document_frequency(spark):
     assert terms.term_list(terms.vocabulary(df, min_df=1, max_terms=2)) == ["aaa", "bbb"]
 
 
+def test_counts_of_lists_with_nulls(spark):
+    lists = [(["b", "a", "b", None, None],), ([],), (None,), (["a"],), (["a"],)]
+    df = spark.createDataFrame(lists, "tokens array<string>")
+    stats = {r["term"]: (r["term_freq"], r["doc_freq"]) for r in terms.term_stats(df).collect()}
+    assert stats == {"a": (3, 3), "b": (2, 1), None: (2, 1)}
+
+
+def test_term_counts_make_nothing_for_each_word(spark):
+    plan = terms.term_stats(terms.topic_words(texts(spark, "aaa bbb")))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "sort_array" not in plan and plan.count("Exchange") == 1
+
+
 LEXICON = [("wars", "n", "war", 10), ("war", "n", "war", 50), ("went", "v", "go", 9), ("go", "v", "go", 40),
            ("better", "a", "good", 5), ("make", "v", "make", 7), ("city", "n", "city", 3), ("man", "n", "man", 9)]
 
