@@ -47,6 +47,68 @@ def test_words_are_encoded_as_whole_texts(model):
         assert np.frombuffer(b"".join(pieces), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_marks_after_letters_are_taken_off(model):
+    words, whole = tokenfiles.WordIds(model), Tokenizer.from_str(model)
+    last = [*LETTERS, "7", *map(chr, range(0xC0, 0x180)), "é", "क़", "x̀"]
+    marks = ["###", ".$$$", "&&&", "'", "'''", "’", "~`^|_", "=", "+", "@", ">", "<|endoftext|>", "<", ")\"", "…", "%'"]
+    made = [a + b + m for a in ("", "no", "'") for b in last for m in marks]
+    known = words.learn([w.encode() for w in made])
+    assert all(np.frombuffer(known[w.encode()], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids for w in made)
+    words.tokenizer = counted = Counted(words.tokenizer)
+    words.learn([f"so{c}{m}".encode() for c in ("é", "s", "ü") for m in ("***", "!%", ".#")])
+    assert counted.texts == 4
+
+
+class Counted:
+    """A tokenizer that counts the texts and calls it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.texts, self.calls = inner, 0, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts, self.calls = self.texts + len(texts), self.calls + 1
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+LETTERS = ["a", "É", "e", "ß", "İ", "가", "Σ", "ς", "ﬁ", "ǆ", "ª", "ʰ", "ก", "ア", "𝒜", "Å", "ᄀ", "ᅡ", "word", "The"]
+
+
+def test_words_of_letters_are_encoded_together(model):
+    words, whole, rng = tokenfiles.WordIds(model), Tokenizer.from_str(model), random.Random(3)
+    assert words.ends is not None
+    made = sorted({"".join(rng.choices(LETTERS, k=rng.randrange(1, 9))) for _ in range(3000)})
+    words.tokenizer = counted = Counted(words.tokenizer)
+    known = words.learn([w.encode() for w in made])
+    assert all(np.frombuffer(known[w.encode()], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids for w in made)
+    plain_words = [f"{a}{b}".encode() for a in ("mi", "no", "pra") for b in ("xu", "vel", "dor", "qui")]
+    counted.texts = 0
+    words.learn(plain_words)
+    assert counted.texts == 1
+
+
+def test_words_that_come_again_are_not_forgotten(model, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 20)
+    words, whole = tokenfiles.WordIds(model), Tokenizer.from_str(model)
+    asked, plainly = [], words.encoded
+    monkeypatch.setattr(words, "encoded", lambda some: asked.extend(some) or plainly(some))
+    monkeypatch.setattr(words, "encoded_together", lambda some: asked.extend(some) or plainly(some))
+    for i in range(40):
+        text = f"often x{i}a x{i}b x{i}c often."
+        found = b"".join(words.pieces(text.encode()))
+        assert np.frombuffer(found, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(words.known) + len(words.before) <= 40
+    assert asked.count(b"often") == 1 and asked.count(b"x0a") == 1
+
+
+def test_texts_of_a_batch_are_learned_together(model):
+    words, whole = tokenfiles.WordIds(model), Tokenizer.from_str(model)
+    words.tokenizer = counted = Counted(words.tokenizer)
+    texts = ["so gut", "", "gut und so", "und x1", "lang " * 300_000, "neu"]
+    for t, pieces in zip(texts, words.each([t.encode() for t in texts])):
+        assert np.frombuffer(b"".join(pieces), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert counted.calls == 3
+
+
 def test_files_equal_the_library(spark, documents, model, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfiles, "RANGE_BYTES", 4000)
     rng = random.Random(2)
