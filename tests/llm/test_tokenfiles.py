@@ -205,3 +205,24 @@ def test_query_equals_the_library(spark, sf_dir, model):
 def test_packed_list_keeps_null_ids():
     data = written([(None, [1]), (2, [3])])
     assert tokenfiles.FileReader(io.BytesIO(data), len(data)).documents().column("doc_id").type == pa.int64()
+
+
+def test_words_in_other_case_are_learned_once(model):
+    words, whole = tokenfiles.WordIds(model), Tokenizer.from_str(model)
+    texts = ["Gut gut GUT guT", "DAS Größte das größte", "J\u030c H\u0331x T\u0308 I\u0307 ǰ j\u030c", "<|ENDOFTEXT|> Gut",
+             "a<|endoftext|>B <|EndOfText|>", "\u212a \u0130X \u01c5A A\u0345 K\u0338", "ΑΣ AΣB Σ"]
+    for t, pieces in zip(texts, words.each([t.encode() for t in texts])):
+        assert np.frombuffer(b"".join(pieces), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    words = tokenfiles.WordIds(model)
+    words.learn(words.words(b"Gut gut GUT guT. gUt"))
+    assert set(words.known) == {b"gut", b"gut.", b"."}
+    assert not tokenfiles.lowers_letters(model.replace('"Lowercase"', '"NFD"'))
+
+
+def test_files_are_listed_and_read_in_one_python_step(spark, documents, model, tmp_path):
+    most = spark.conf.get(tokenfiles.BATCH_KEY)
+    tokenfiles.write_token_files(documents([(1, "a b"), (2, "c")]), str(tmp_path / "t"), model, 1)
+    assert spark.conf.get(tokenfiles.BATCH_KEY) == most
+    found = tokenfiles.read_token_files(spark, str(tmp_path / "t"))
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    assert digests(found) == plain([(1, "a b"), (2, "c")], model, 1)
