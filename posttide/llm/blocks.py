@@ -104,7 +104,9 @@ def make_blocks(df: DataFrame, column: str, size: int = BLOCK_BYTES,
         held, held_bytes = [], 0
 
         def flush() -> pa.RecordBatch:
-            row = prepare(pa.Table.from_batches(held).combine_chunks())
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()  # not kept beside the table
+            row = prepare(table)
             return pa.RecordBatch.from_arrays([pa.array([f"{split}-{count}"]), pa.array([row], pa.binary())],
                                               ["block", "payload"])
 
@@ -114,10 +116,9 @@ def make_blocks(df: DataFrame, column: str, size: int = BLOCK_BYTES,
                 held_bytes += _text_size(part, column)
                 if held_bytes >= size * 3 // 4:
                     yield flush()
-                    count, held, held_bytes = count + 1, [], 0
+                    count, held_bytes = count + 1, 0
         if held:
             yield flush()
-            held = []
         release()
 
     rows = df.mapInArrow(packed, BLOCK_SCHEMA)

@@ -86,3 +86,10 @@ def test_empty_and_odd_documents_go_through(spark, sf_dir, documents):
                 kept = {r.doc_id for r in docs.collect()}
                 assert kept in (set(), {None, 4, 5})
         docs.count()
+
+
+def test_no_text_travels_with_its_tokens(spark, documents, sf_dir):
+    rows = [(1, "a  b\n"), (2, None), (3, ""), (None, "é 😀"), (1, "a  b\n")]
+    coded = pipeline.tokens(spark, documents(rows), sf_dir)
+    assert "text" not in spark.read.parquet(*coded.inputFiles()).columns
+    assert all(r.round_trip for r in coded.collect()) and coded.count() == len(rows)
