@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import struct
 import zlib
@@ -219,6 +220,31 @@ def test_words_in_other_case_are_learned_once(model):
     assert not tokenfiles.lowers_letters(model.replace('"Lowercase"', '"NFD"'))
 
 
+def test_words_of_plain_letters_need_no_patterns(model):
+    words, whole, rng = tokenfiles.WordIds(model), Tokenizer.from_str(model), random.Random(5)
+    words.tokenizer.whole = counted = Counted(words.tokenizer.whole)
+    letters = [c.decode() for c in sorted(tokenfiles.LATIN)] + list("abcxyzAEIOU")
+    made = letters + ["".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(3000)]
+    known = words.learn([w.encode() for w in made])
+    assert all(np.frombuffer(known[w.encode()], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids for w in made)
+    assert counted.texts == 0
+    for changed in (('"Lowercase"', '"NFD"'), ('"invert": true', '"invert": false'), ('"use_regex": false', '"use_regex": true')):
+        other = json.dumps(json.loads(model)).replace(*changed)
+        assert other != json.dumps(json.loads(model)) and tokenfiles.ShortWay(other).short is None
+
+
+def test_a_word_of_many_texts_is_looked_up_once(model, monkeypatch):
+    words, whole, asked = tokenfiles.WordIds(model), Tokenizer.from_str(model), []
+    ids = words.ids
+    monkeypatch.setattr(words, "ids", lambda some: asked.extend(some) or ids(some))
+    texts = ["Gut so gut", " gut\n", "", "so", "\x80 so"] * 50
+    for t, pieces in zip(texts, words.each([t.encode() for t in texts])):
+        assert np.frombuffer(b"".join(pieces), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert sorted(w for w in asked if w) == [b"gut", b"so", "\x80".encode()]
+    broken = next(words.each([b"so \xff\xfe gut"]))
+    assert b"".join(broken) == words.encoded([b"so \xff\xfe gut"])[0]
+
+
 def test_files_are_listed_and_read_in_one_python_step(spark, documents, model, tmp_path):
     most = spark.conf.get(tokenfiles.BATCH_KEY)
     tokenfiles.write_token_files(documents([(1, "a b"), (2, "c")]), str(tmp_path / "t"), model, 1)
