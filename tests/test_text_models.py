@@ -48,6 +48,28 @@ def test_term_counts_make_nothing_for_each_word(spark):
     assert "lambda" not in plan and plan.count("sort_array") == 1 and plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_ngrams_are_made_in_compiled_code(spark, n):
+    df = texts(spark, "ab cd ab cd ab", "ab", "", None, "x y", "cd  ab\ncd")
+    lists = [["ab", "cd", "ab", "cd", "ab"], ["ab"], [], [], [], ["cd", "ab", "cd"]]
+    expected = Counter(" ".join(words[i:i + n]) for words in lists for i in range(len(words) - n + 1))
+    for found in (terms.ngram_counts(df, n), terms.ngram_rows(df, n).groupBy("ngram").agg(F.count("*").alias("n"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count("regexp_extract_all") == 1
+        assert {r["ngram"]: r["n"] for r in found.collect()} == expected
+    best = sorted(expected.items(), key=lambda e: (-e[1], e[0]))[:2]
+    assert [(r["ngram"], r["n"]) for r in terms.top_ngrams(df, n, 2).collect()] == best
+
+
+def test_report_counts_ngrams_of_the_written_table(spark, monkeypatch):
+    df = texts(spark, *(["apple banana cherry apple"] * 10 + ["dog eagle falcon dog"] * 10)).repartition("row_key")
+    seen, top_ngrams = [], terms.top_ngrams
+    monkeypatch.setattr(terms, "top_ngrams", lambda given, *rest: seen.append(given) or top_ngrams(given, *rest))
+    found = reports.topic_report(df, k=2, passes=1)["top_ngrams"]
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in top_ngrams(df).collect()]
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 LEXICON = [("wars", "n", "war", 10), ("war", "n", "war", 50), ("went", "v", "go", 9), ("go", "v", "go", 40),
            ("better", "a", "good", 5), ("make", "v", "make", 7), ("city", "n", "city", 3), ("man", "n", "man", 9)]
 
