@@ -125,6 +125,23 @@ def test_a_step_is_one_stage(spark):
     assert thrice - once == 2 * 5
 
 
+def test_many_small_batches_follow_one_another_in_one_stage(spark, monkeypatch):
+    bags, words = toy(spark)
+    models = []
+
+    def fit(passes):
+        models.append(tb.fit_topics_in_batches(bags, "id", len(words), k=2, passes=passes, batch=2).weights)
+
+    assert stages(spark, lambda: fit(3)) - stages(spark, lambda: fit(1)) == 2
+    assert np.allclose(models[0], plain_fit(counted(bags.withColumn("row_key", F.col("id")).select("row_key", "features")),
+                                            len(words), 2, 20, 3, 2), rtol=1e-6, atol=1e-6)
+    monkeypatch.setattr(tb, "FOLDER_ROWS", 36)
+    fit(1)
+    monkeypatch.setattr(tb, "CHAIN", 1000)
+    fit(1)
+    assert all((model == models[1]).all() for model in models[2:])
+
+
 def test_documents_beside_each_other_do_not_matter():
     random_state = np.random.RandomState(5)
     sizes = np.array([1, 7, 40, 3, 1])
