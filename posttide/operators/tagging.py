@@ -28,6 +28,8 @@ CLASSES = ["a", "n", "o", "v"]
 SCALE = 1_000_000
 #: A table of words up to this size, as JSON, travels to the tasks; a larger one is joined.
 DICTIONARY_BYTES = 64 << 20
+#: Tasks that the rows of a frequent token are spread over where the table is joined.
+TOKEN_SALTS = 4
 
 
 @dataclass
@@ -184,11 +186,12 @@ def _lemmas_of(table: DataFrame) -> Callable[[Column, Column], Column]:
 
 def _with_map(df: DataFrame, table: DataFrame, value: str, tokens: str, key: str, name: str) -> DataFrame:
     """Adds `name`, a map from the tokens of a row that the table knows to their values; for tables too large to
-    travel. Only distinct tokens and their values are shuffled."""
+    travel. Only distinct tokens and their values are shuffled, and nothing is broadcast. A row has a token once, so
+    none has more than a small share of all, and the table is repeated for few salts."""
     distinct = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    found = (lookup_join(distinct, table.select("token", value), ["token"], "inner", max_bytes=0).groupBy(key)
+    found = (lookup_join(distinct, table.select("token", value), ["token"], "inner", max_bytes=0, salts=TOKEN_SALTS).groupBy(key)
              .agg(F.map_from_entries(F.collect_list(F.struct("token", value))).alias(name)))
-    return df.join(found, key, "left")
+    return df.join(found.hint("merge"), key, "left")
 
 
 def tag_in_context(df: DataFrame, tagger: Tagger, tokens: str = "tokens", key: str = "row_key",

@@ -10,6 +10,8 @@ from explained import plan_of
 from pyspark.sql import functions as F
 
 from posttide.operators import tagging
+from posttide.operators.joins import lookup_join
+from posttide.session import materialize
 
 WORDS = ["saw", "the", "a", "dog", "cut", "red", "runs"]
 
@@ -112,6 +114,18 @@ def test_small_tables_shuffle_no_posts(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_large_tables_are_not_broadcast(spark):
+    table = materialize(spark.range(1000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"),
+                                                 F.array(*[F.col("id")] * 4).alias("scores")), "words")
+    tagger = tagging.Tagger([0] * 4, [[0] * 4] * 4, [0] * 4, table)
+    df = spark.range(100).select(F.col("id").alias("row_key"), F.lit("w1 w7 saw").alias("text"))
+    cleaned = tagging.clean_heavy_in_context(df, tagger, lexicon(spark), max_bytes=0)
+    cleaned.collect()
+    assert "Broadcast" not in plan_of(cleaned)
+    on_word = df.select("row_key", F.concat(F.lit("w"), F.col("row_key").cast("string")).alias("token"))
+    assert "Broadcast" not in plan_of(lookup_join(on_word, table, ["token"], max_bytes=0))
+
+
 def test_counts_come_from_one_aggregation_and_skip_holes(spark):
     rows = [(["a", None, "b"], ["n", "v", None]), (["c"], ["x"]), (None, None), (["d", "e"], ["n"])]
     counts = tagging.sequence_counts(tagged(spark, rows))
