@@ -189,7 +189,8 @@ def _with_map(df: DataFrame, table: DataFrame, value: str, tokens: str, key: str
     travel. Only distinct tokens and their values are shuffled, and nothing is broadcast. A row has a token once, so
     none has more than a small share of all, and the table is repeated for few salts."""
     distinct = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    found = (lookup_join(distinct, table.select("token", value), ["token"], "inner", max_bytes=0, salts=TOKEN_SALTS).groupBy(key)
+    known = lookup_join(distinct, table.select("token", value), ["token"], "inner", max_bytes=0, salts=TOKEN_SALTS)
+    found = (known.groupBy(key)
              .agg(F.map_from_entries(F.collect_list(F.struct("token", value))).alias(name)))
     return df.join(found.hint("merge"), key, "left")
 
